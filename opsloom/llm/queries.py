@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import leakage, splitting, stuffing, tokens
+from opsloom.llm import leakage, pii, splitting, stuffing, tokens
 from opsloom.sources.tables import table
 
 
@@ -23,6 +23,24 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return cut.filter("oversized").drop("oversized").distinct()
 
 
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sources of user texts as (src, rec_id, text)."""
+    asked = table(spark, folder, "chat_requests").select(F.lit("chat_requests").alias("src"), F.col("request_id").alias("rec_id"), F.col("message").alias("text"))
+    turns = table(spark, folder, "turns").select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), F.col("content").alias("text"))
+    return asked.unionByName(turns)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(_messages(spark, folder), "text", ["src", "rec_id"], table(spark, folder, "name_parts"))
+    shown = F.when(F.col("kind").isin("email", "phone", "id_number"), F.col("value")).otherwise("")
+    return found.select("src", "rec_id", "kind", shown.alias("found")).distinct()
+
+
+def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
+    texts = pii.mask(_messages(spark, folder), "text", "masked", table(spark, folder, "name_parts"))
+    return texts.select("src", "rec_id", "masked").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", tokens.ids_of(F.col("text")).alias("ids"))
 
@@ -37,7 +55,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return pages.filter(F.col("stuffed_share") > stuffing.LEAST).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_masked": p4_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL = {
     "p1_found": """
