@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opsloom.plans import core_problems
+from opsloom.plans import core_problems, retrieval_queries, text_queries
 
-FLAGSHIP = "p5_found"
-MODULES = [core_problems]
+FLAGSHIP = "hybrid_parent_child"
+MODULES = [core_problems, retrieval_queries, text_queries]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
