@@ -55,7 +55,8 @@ def has_clause(unit: str) -> bool:
         plain = unicodedata.normalize("NFKC", plain)
     words = _WORD.findall(plain)
     han = [c for w in words for c in w if "㐀" <= c <= "鿿"]
-    latin = [w.lower() for w in words if "㐀" > w[0] and not w[0].isdigit()]
+    # A capital alone is a code rather than an article.
+    latin = [w if len(w) == 1 else w.lower() for w in words if "㐀" > w[0] and not w[0].isdigit()]
     if len(han) >= 4 and sum(c in _HAN_FUNCTION for c in han) >= HAN_CLAUSE * len(han) + 0.5:
         return True
     return len(latin) >= 4 and sum(w in _FUNCTION_WORDS for w in latin) >= max(1, CLAUSE * len(latin))
