@@ -113,7 +113,7 @@ def duration_seconds(text: Column, low: int = 60, high: int = 7200) -> Column:
     n = F.regexp_extract(text, r"^\s*(\d+)\s*([smhd])\s*$", 1).try_cast("int")
     unit = F.regexp_extract(text, r"^\s*(\d+)\s*([smhd])\s*$", 2)
     factor = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
-    return F.greatest(F.lit(low), F.least(F.lit(high), n * factor))
+    return F.when((n * factor).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), n * factor)))
 
 
 def sliding_chunks(text: Column, size: int = 400, overlap: int = 100, most: int = 8) -> Column:

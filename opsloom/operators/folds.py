@@ -27,7 +27,8 @@ def fold(df: DataFrame, key: str, order: list[str], keep: list[str], out: str, s
             values = []
             for row in pdf.itertuples(index=False):
                 k = getattr(row, key)
-                if not begun or k != now and not (k is None and now is None):
+                k = None if pd.isna(k) else k
+                if not begun or k != now:
                     now, state, begun = k, start(), True
                 values.append(step(state, row))
             made = pd.DataFrame(values, columns=names, index=pdf.index)
@@ -82,7 +83,7 @@ def circuit_breaker(df: DataFrame, key: str, ts: str, tie: str, failed: str, thr
         if state == "open":
             s["state"] = state
             return (False, state)
-        if getattr(row, failed):
+        if getattr(row, failed) is True or getattr(row, failed) == 1:
             s["count"] += 1
             if state == "half_open" or s["count"] >= threshold:
                 state, s["since"] = "open", now
@@ -102,12 +103,14 @@ def budget_fit(df: DataFrame, key: str, priority: str, tie: str, tokens: str, tr
     """
 
     def step(s: dict, row) -> tuple:
-        n = getattr(row, tokens) or 0
+        n = getattr(row, tokens)
+        n = 0 if pd.isna(n) else int(n)
         left = budget - s["used"]
         if n <= left:
             s["used"] += n
             return (n, "whole")
-        if getattr(row, truncatable) and n > 0 and left > least:
+        may = getattr(row, truncatable)
+        if not pd.isna(may) and may and n > 0 and left > least:
             s["used"] += left
             return (left, "cut")
         return (0, "dropped")

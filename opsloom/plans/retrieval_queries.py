@@ -68,7 +68,7 @@ RRF = """rrf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1
 
 
 def _shown(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns, F.round("score", 6).alias("score"))
+    return df.select(*columns, "score")
 
 
 def sparse_top(spark, d):
@@ -90,7 +90,7 @@ def _fusion(how: str, weights: list[float]):
 
 def _fusion_sql(value: str) -> str:
     return f"""WITH {ROUTES}, f AS (SELECT query_id, doc_id, round({value}, 9) AS score FROM routes GROUP BY 1, 2)
-    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, round(score, 6) AS score FROM f QUALIFY rank < 5"""
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, score FROM f QUALIFY rank < 5"""
 
 
 def hybrid_parent_child(spark, d):
@@ -113,7 +113,7 @@ HYBRID = f"""WITH {ROUTES}, {RRF},
       CASE WHEN coalesce(try_cast(regexp_replace(replace(valid_until, '/', '-'), '[Zz]$', '') AS TIMESTAMP) < TIMESTAMP '2026-08-31', false) THEN score * 0.5 ELSE score END AS score
       FROM rrf JOIN documents USING (doc_id) WHERE source IS NOT NULL),
     v AS (SELECT query_id, parent_id, count(*) AS hits, round(max(score) + 0.1::DOUBLE * (count(*) - 1), 9) AS score FROM aged GROUP BY 1, 2)
-    SELECT query_id, parent_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, round(score, 6) AS score FROM v QUALIFY rank < 3"""
+    SELECT query_id, parent_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, score FROM v QUALIFY rank < 3"""
 
 
 def dynamic_cut(spark, d):
@@ -140,7 +140,7 @@ SIMPLE_RERANK = f"""WITH {ROUTES}, s AS (SELECT query_id, doc_id, round(score *
       + CASE WHEN length(text) < 50 THEN 0.3 WHEN length(text) < 200 THEN 0.8 WHEN length(text) < 500 THEN 1.0 ELSE 0.7 END::DOUBLE * 0.2::DOUBLE
       + CASE WHEN starts_with(source, 'course') THEN 1.0 WHEN starts_with(source, 'teaching') THEN 0.8 ELSE 0.5 END::DOUBLE * 0.2::DOUBLE, 9) AS score
       FROM routes JOIN corpus USING (doc_id) WHERE route = 1)
-    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, round(score, 6) AS score FROM s QUALIFY rank < 5"""
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, score FROM s QUALIFY rank < 5"""
 
 
 def chunk_rerank(spark, d):
@@ -185,7 +185,7 @@ DENSE = """
     s AS (SELECT q.vec_id AS query_id, q.label AS want, e.vec_id AS doc_id, e.label,
       round((coalesce(list_cosine_similarity(q.v, e.v), 0) + 1) / 2, 9) AS score FROM e AS q, e WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s QUALIFY rank < 10)"""
-DENSE_TOP = f"WITH {DENSE} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r"
+DENSE_TOP = f"WITH {DENSE} SELECT query_id, doc_id, rank, score FROM r"
 
 
 def label_votes(spark, d):
@@ -195,7 +195,7 @@ def label_votes(spark, d):
 
 
 LABEL_VOTES = f"""WITH {DENSE}, v AS (SELECT query_id, label AS parent_id, count(*) AS hits, round(max(score) + 0.1::DOUBLE * (count(*) - 1), 9) AS score FROM r GROUP BY 1, 2)
-    SELECT query_id, parent_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, round(score, 6) AS score FROM v QUALIFY rank < 3"""
+    SELECT query_id, parent_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, score FROM v QUALIFY rank < 3"""
 
 
 def recall_mrr_ndcg(spark, d):
@@ -303,7 +303,7 @@ QUERIES = {
 }
 SQL = {
     "hybrid_parent_child": HYBRID,
-    "sparse_top": f"WITH {ROUTES} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM routes WHERE route = 1 AND rank < 5",
+    "sparse_top": f"WITH {ROUTES} SELECT query_id, doc_id, rank, score FROM routes WHERE route = 1 AND rank < 5",
     "fusion_rrf": _fusion_sql("sum(1.0::DOUBLE / (60 + rank + 1))"),
     "fusion_weighted_sum": _fusion_sql("sum(score * CASE route WHEN 1 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END)"),
     "fusion_combmnz": _fusion_sql("sum(score) * count(*)"),
