@@ -60,9 +60,6 @@ def _carried(summaries: list) -> dict[int, tuple]:
             state = (tail, max(state[1], s.reach), s.last_start if s.last_start > state[1] else state[2])
         else:
             state = (tail, s.reach, s.last_start)
-            before = out[s.part]
-            if before and before[0] == tail:
-                state = (tail, max(before[1], s.reach), s.last_start if s.last_start > before[1] else before[2])
     return out
 
 
