@@ -59,10 +59,15 @@ def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return listed.select(key, "size", F.explode("__tokens").alias("term")).groupBy(key, "term", "size").agg(F.count("*").alias("n"))
 
 
-def idf(counts: DataFrame, documents: int, most: int | None = None) -> DataFrame:
+def document_frequency(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(term, df): how many documents hold each term. Terms are made distinct within a document before they are counted,
+    so what is shuffled is one partial count for each term and partition."""
+    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf(frequency: DataFrame, documents: int, most: int | None = None) -> DataFrame:
     """(term, df, idf) with idf = ln((N + 1) / (df + 1)) + 1; of the ``most`` commonest terms, ties to the smaller term."""
-    found = counts.groupBy("term").agg(F.count("*").alias("df"))
-    found = found.withColumn("idf", F.log((F.lit(documents) + 1) / (F.col("df") + 1)) + 1)
+    found = frequency.withColumn("idf", F.log((F.lit(documents) + 1) / (F.col("df") + 1)) + 1)
     return found if most is None else found.orderBy(F.desc("df"), "term").limit(most)
 
 
@@ -90,12 +95,17 @@ def fused(routes: list[DataFrame], how: str = "rrf", weights_: list[float] | Non
     for route, weight in zip(routes, given):
         part = route.select("query_id", "doc_id", "score", "rank", F.lit(float(weight)).alias("weight"))
         all_ = part if all_ is None else all_.unionByName(part)
+    return fused_hits(all_, how, k)
+
+
+def fused_hits(hits: DataFrame, how: str = "rrf", k: int = 60) -> DataFrame:
+    """(query_id, doc_id, score) of hits of all routes in one table, each with the ``weight`` of its route."""
     value = {
         "rrf": F.sum(F.col("weight") / (F.lit(k) + F.col("rank") + 1)),
         "weighted": F.sum(F.col("weight") * F.col("score")),
         "combmnz": F.sum("score") * F.count("*"),
     }[how]
-    return all_.groupBy("query_id", "doc_id").agg(F.round(value, DIGITS).alias("score"))
+    return hits.groupBy("query_id", "doc_id").agg(F.round(value, DIGITS).alias("score"))
 
 
 def parent_votes(hits: DataFrame, parents: DataFrame, boost: float = 0.1) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import text
 from opsloom.operators import evaluation, retrieval
-from opsloom.sources.tables import table
+from opsloom.session import stage_table
+from opsloom.sources.tables import spread, table
 
 NOW = "2026-08-31T00:00:00"
 TOKEN = "[a-zA-Z0-9_一-龥]+"
@@ -16,49 +17,52 @@ WORDY = r"[\p{L}\p{N}]"
 
 
 def _tokens(c: str):
-    return F.transform(text.eval_tokens(F.col(c)), F.lower)
+    return text.eval_tokens(F.lower(c))
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter(F.col("text").rlike(WORDY))
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source", "valid_until")).filter(F.col("text").rlike(WORDY))
 
 
-def _doc_weights(spark, d):
-    docs = _corpus(spark, d)
-    counts = retrieval.term_counts(docs, "doc_id", _tokens("text"))
-    # The number of documents is one figure, read from the same scan's column statistics where there are any.
-    terms = retrieval.idf(counts, docs.count())
-    return terms, retrieval.weights(counts, terms, "doc_id")
+def _queries(spark, d):
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query", "expected_keywords")
 
 
-def _query_weights(queries: DataFrame, terms: DataFrame, tokens) -> DataFrame:
-    return retrieval.weights(retrieval.term_counts(queries, "query_id", tokens), terms, "query_id")
+def _hits(spark, d, k: int = 20) -> DataFrame:
+    """(route, query_id, doc_id, score, rank): the k best of each question by its own words (1) and by the keywords
+    expected of an answer (2). The postings are written once and serve frequencies, lengths and both routes."""
+    docs = _corpus(spark, d)
+    postings = stage_table(retrieval.term_counts(docs, "doc_id", _tokens("text")), "postings")
+    terms = retrieval.idf(postings.groupBy("term").agg(F.count("*").alias("df")), docs.count())
+    q = _queries(spark, d)
+    by_words = q.select(F.struct(F.lit(1).alias("route"), "query_id").alias("query_id"), _tokens("query").alias("tokens"))
+    words = text.eval_tokens(F.lower(F.array_join("expected_keywords", " ")))
+    by_keywords = q.select(F.struct(F.lit(2).alias("route"), "query_id").alias("query_id"), words.alias("tokens"))
+    asked = retrieval.term_counts(by_words.unionByName(by_keywords), "query_id", F.col("tokens"))
+    scores = retrieval.sparse_scores(retrieval.weights(asked, terms, "query_id"), retrieval.weights(postings, terms, "doc_id"))
+    best = retrieval.top(scores, k, ["query_id"])
+    return best.select("query_id.*", "doc_id", "score", "rank")
 
 
-def _queries(spark, d):
-    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query", "expected_keywords")
+def _route(spark, d, number: int = 1) -> DataFrame:
+    return _hits(spark, d).filter(F.col("route") == number).drop("route")
 
 
-def _routes(spark, d, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The two sparse routes of every question: by its own words, and by the keywords expected of an answer."""
-    terms, weights = _doc_weights(spark, d)
-    q = _queries(spark, d)
-    by_words = retrieval.sparse_scores(_query_weights(q, terms, _tokens("query")), weights)
-    words = F.transform(text.eval_tokens(F.array_join("expected_keywords", " ")), F.lower)
-    by_keywords = retrieval.sparse_scores(_query_weights(q, terms, words), weights)
-    return retrieval.top(by_words, k, ["query_id"]), retrieval.top(by_keywords, k, ["query_id"])
+def _fused(hits: DataFrame, how: str = "rrf", second: float = 1.0, first: float = 1.0, k: int = 60) -> DataFrame:
+    weight = F.when(F.col("route") == 1, first).otherwise(second)
+    return retrieval.fused_hits(hits.withColumn("weight", weight), how, k)
 
 
 ROUTES = f"""
     corpus AS (SELECT doc_id, text, source FROM documents WHERE regexp_matches(text, '{WORDY}')),
-    dt AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS l FROM corpus),
-    dc AS (SELECT doc_id, lower(t) AS term, len(any_value(l)) AS size, count(*) AS n FROM (SELECT doc_id, l, unnest(l) AS t FROM dt) GROUP BY 1, 2),
+    dt AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM corpus),
+    dc AS (SELECT doc_id, t AS term, len(any_value(l)) AS size, count(*) AS n FROM (SELECT doc_id, l, unnest(l) AS t FROM dt) GROUP BY 1, 2),
     idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM corpus) + 1) / (count(*) + 1)) + 1 AS idf FROM dc GROUP BY 1),
     dw0 AS (SELECT doc_id, term, n::DOUBLE / size * idf AS w FROM dc JOIN idf USING (term)),
     dw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw0),
-    qt AS (SELECT 1 AS route, item_id AS query_id, regexp_extract_all(query, '{TOKEN}') AS l FROM eval_items
-      UNION ALL SELECT 2, item_id, regexp_extract_all(array_to_string(expected_keywords, ' '), '{TOKEN}') FROM eval_items),
-    qc AS (SELECT route, query_id, lower(t) AS term, len(any_value(l)) AS size, count(*) AS n FROM (SELECT route, query_id, l, unnest(l) AS t FROM qt) GROUP BY 1, 2, 3),
+    qt AS (SELECT 1 AS route, item_id AS query_id, regexp_extract_all(lower(query), '{TOKEN}') AS l FROM eval_items
+      UNION ALL SELECT 2, item_id, regexp_extract_all(lower(array_to_string(expected_keywords, ' ')), '{TOKEN}') FROM eval_items),
+    qc AS (SELECT route, query_id, t AS term, len(any_value(l)) AS size, count(*) AS n FROM (SELECT route, query_id, l, unnest(l) AS t FROM qt) GROUP BY 1, 2, 3),
     qw0 AS (SELECT route, query_id, term, n::DOUBLE / size * idf AS w FROM qc JOIN idf USING (term)),
     qw AS (SELECT route, query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY route, query_id)) AS w FROM qw0),
     hits AS (SELECT route, query_id, doc_id, round(sum(qw.w * dw.w), 9) AS score FROM qw JOIN dw USING (term) GROUP BY 1, 2, 3),
@@ -72,17 +76,17 @@ def _shown(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def sparse_top(spark, d):
-    return _shown(_routes(spark, d)[0].filter("rank < 5"), "query_id", "doc_id", "rank")
+    return _shown(_route(spark, d).filter("rank < 5"), "query_id", "doc_id", "rank")
 
 
 def fusion_rrf(spark, d):
-    fused = retrieval.fused(list(_routes(spark, d)))
+    fused = _fused(_hits(spark, d))
     return _shown(retrieval.top(fused, 5, ["query_id"]), "query_id", "doc_id", "rank")
 
 
 def _fusion(how: str, weights: list[float]):
     def query(spark, d):
-        fused = retrieval.fused(list(_routes(spark, d)), how, weights)
+        fused = _fused(_hits(spark, d), how, weights[1], weights[0])
         return _shown(retrieval.top(fused, 5, ["query_id"]), "query_id", "doc_id", "rank")
 
     return query
@@ -99,7 +103,7 @@ def hybrid_parent_child(spark, d):
     A hit whose document is out of date counts half; a parent is as good as its best hit and 0.1 for each further one.
     """
     docs = _corpus(spark, d).select("doc_id", F.col("source").alias("parent_id"), "valid_until")
-    fused = retrieval.fused(list(_routes(spark, d)))
+    fused = _fused(_hits(spark, d))
     now = F.lit(NOW).cast("timestamp")
     aged = fused.join(docs.select("doc_id", "valid_until"), "doc_id").select(
         "query_id", "doc_id", retrieval.decayed(F.col("score"), F.col("valid_until"), now).alias("score")
@@ -117,7 +121,7 @@ HYBRID = f"""WITH {ROUTES}, {RRF},
 
 
 def dynamic_cut(spark, d):
-    cut = retrieval.dynamic_cut(retrieval.fused(list(_routes(spark, d))), 5)
+    cut = retrieval.dynamic_cut(_fused(_hits(spark, d)), 5)
     return cut.groupBy("query_id").agg(F.first("clear").alias("clear"), F.count("*").alias("kept"))
 
 
@@ -131,7 +135,7 @@ DYNAMIC_CUT = f"""WITH {ROUTES}, {RRF},
 def simple_rerank(spark, d):
     docs = _corpus(spark, d).select("doc_id", "text", "source")
     weight = F.when(F.col("source").startswith("course"), 1.0).when(F.col("source").startswith("teaching"), 0.8).otherwise(0.5)
-    hits = _routes(spark, d)[0].select("query_id", "doc_id", "score").join(docs, "doc_id")
+    hits = _route(spark, d).select("query_id", "doc_id", "score").join(docs, "doc_id")
     scored = hits.select("query_id", "doc_id", F.round(retrieval.simple_rerank_score(F.col("score"), F.col("text"), weight), 9).alias("score"))
     return _shown(retrieval.top(scored, 5, ["query_id"]), "query_id", "doc_id", "rank")
 
@@ -146,7 +150,7 @@ SIMPLE_RERANK = f"""WITH {ROUTES}, s AS (SELECT query_id, doc_id, round(score *
 def chunk_rerank(spark, d):
     """The best chunk's lexical overlap with the question, for each hit: a reranker with the default scorer."""
     docs = _corpus(spark, d).select("doc_id", F.posexplode(text.sliding_chunks(F.col("text"))).alias("chunk_no", "chunk"))
-    hits = _routes(spark, d)[0].select("query_id", "doc_id").join(_queries(spark, d).select("query_id", "query"), "query_id")
+    hits = _route(spark, d).select("query_id", "doc_id").join(_queries(spark, d).select("query_id", "query"), "query_id")
     pairs = hits.join(docs, "doc_id")
     overlap = retrieval.lexical_overlap(_tokens("query"), _tokens("chunk"))
     best = pairs.groupBy("query_id", "doc_id").agg(F.round(F.max(overlap), 9).alias("score"))
@@ -154,8 +158,8 @@ def chunk_rerank(spark, d):
 
 
 def tfidf_fit(spark, d):
-    counts = retrieval.term_counts(_corpus(spark, d), "doc_id", text.tfidf_tokens(F.col("text")))
-    return retrieval.idf(counts, _corpus(spark, d).count(), 2000).select("term", "df", F.round("idf", 6).alias("idf"))
+    frequency = retrieval.document_frequency(_corpus(spark, d), text.tfidf_tokens(F.col("text")))
+    return retrieval.idf(frequency, _corpus(spark, d).count(), 2000).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 TFIDF_FIT = r"""
@@ -222,7 +226,7 @@ RECALL = f"""WITH {DENSE}, n AS (SELECT label AS want, count(*) AS total FROM e
 def keyword_recall(spark, d):
     """The share of the expected keywords that the first five hits of each question hold, whatever their case."""
     docs = _corpus(spark, d).select("doc_id", F.lower("text").alias("text"))
-    hits = _routes(spark, d)[0].filter("rank < 5").join(docs, "doc_id")
+    hits = _route(spark, d).filter("rank < 5").join(docs, "doc_id")
     words = _queries(spark, d).select("query_id", F.explode(F.array_distinct(F.transform("expected_keywords", F.lower))).alias("keyword"))
     found = words.join(hits.select("query_id", "text", "rank"), "query_id", "left")
     first = found.groupBy("query_id", "keyword").agg(F.min(F.when(F.contains("text", F.col("keyword")), F.col("rank"))).alias("rank"))
@@ -272,13 +276,13 @@ CONTEXT_PRECISION = f"""WITH {DENSE} SELECT query_id, round(sum(CASE WHEN label
 
 def fusion_grid(spark, d):
     """How much of a question's reciprocal-rank fusion stays among the first five over a grid of constants and weights."""
-    first, second = _routes(spark, d)
-    base = retrieval.top(retrieval.fused([first, second]), 5, ["query_id"]).select("query_id", "doc_id")
+    hits = stage_table(_hits(spark, d), "hits")
+    base = retrieval.top(_fused(hits), 5, ["query_id"]).select("query_id", "doc_id")
     out = None
     for k in (10, 60, 200):
         for weight in (0.5, 2.0):
-            hits = retrieval.top(retrieval.fused([first, second], "rrf", [1.0, weight], k), 5, ["query_id"])
-            same = hits.join(base, ["query_id", "doc_id"], "left_semi")
+            best = retrieval.top(_fused(hits, "rrf", weight, k=k), 5, ["query_id"])
+            same = best.join(base, ["query_id", "doc_id"], "left_semi")
             row = same.agg(F.count("*").alias("same")).select(F.lit(k).alias("k"), F.lit(weight).alias("weight"), "same")
             out = row if out is None else out.unionByName(row)
     return out

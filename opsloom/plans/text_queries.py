@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from opsloom.functions import governance, text
 from opsloom.operators import changes, chunking, filters
 from opsloom.sources import documents as docs
-from opsloom.sources.tables import table
+from opsloom.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *(columns or ("text",)))
+    return spread(table(spark, d, "documents").select("doc_id", *(columns or ("text",))))
 
 
 def tokenizers(spark, d):
@@ -117,8 +117,8 @@ def pii_rules(spark, d):
 
 
 def injection_risk(spark, d):
-    asked = table(spark, d, "chat_requests").select(F.col("message").alias("text"))
-    turns = table(spark, d, "turns").select(F.col("content").alias("text"))
+    asked = spread(table(spark, d, "chat_requests").select(F.col("message").alias("text")))
+    turns = spread(table(spark, d, "turns").select(F.col("content").alias("text")))
     risk = asked.unionByName(turns).select(governance.injection_risk(F.col("text")).alias("risk"))
     return risk.groupBy("risk").agg(F.count("*").alias("texts"))
 
@@ -224,7 +224,7 @@ INCREMENTAL_DIFF = """
 
 def _chunks(cut):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        c = chunking.chunked(table(spark, d, "documents"), "doc_id", "text", cut)
+        c = chunking.chunked(_docs(spark, d), "doc_id", "text", cut)
         return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("chars"))
 
     return query
