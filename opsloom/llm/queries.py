@@ -6,27 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.llm import leakage, pii, splitting, stuffing, tokens
-from opsloom.sources.tables import table
+from opsloom.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     cut = splitting.pieces(
-        table(spark, folder, "elements"), table(spark, folder, "split_limits"), "element_id", "element_type", "text", ["heading_path"]
+        spread(table(spark, folder, "elements")), table(spark, folder, "split_limits"), "element_id", "element_type", "text", ["heading_path"]
     )
     return cut.filter("oversized").select("element_id").distinct()
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     cut = splitting.pieces(
-        table(spark, folder, "elements"), table(spark, folder, "split_limits"), "element_id", "element_type", "text", ["heading_path"]
+        spread(table(spark, folder, "elements")), table(spark, folder, "split_limits"), "element_id", "element_type", "text", ["heading_path"]
     )
     return cut.filter("oversized").drop("oversized").distinct()
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
     """Both sources of user texts as (src, rec_id, text)."""
-    asked = table(spark, folder, "chat_requests").select(F.lit("chat_requests").alias("src"), F.col("request_id").alias("rec_id"), F.col("message").alias("text"))
-    turns = table(spark, folder, "turns").select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), F.col("content").alias("text"))
+    asked = spread(table(spark, folder, "chat_requests").select(F.lit("chat_requests").alias("src"), F.col("request_id").alias("rec_id"), F.col("message").alias("text")))
+    turns = spread(table(spark, folder, "turns").select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), F.col("content").alias("text")))
     return asked.unionByName(turns)
 
 
@@ -42,16 +42,16 @@ def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tokens.ids_of(F.col("text")).alias("ids"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", tokens.ids_of(F.col("text")).alias("ids"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    found = leakage.leaks(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = stuffing.judged(table(spark, folder, "documents"), "doc_id", "text")
+    pages = stuffing.judged(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
     return pages.filter(F.col("stuffed_share") > stuffing.LEAST).select("doc_id").distinct()
 
 
