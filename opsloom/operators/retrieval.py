@@ -19,8 +19,10 @@ def ranked(hits: DataFrame, by: list[str], score: str = "score", tie: str = "doc
 
 
 def top(hits: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "doc_id") -> DataFrame:
-    """The k best of each ``by``. Spark cuts to k within each partition before it shuffles."""
-    return ranked(hits, by, score, tie).filter(F.col("rank") < k)
+    """The k best of each ``by``. Spark cuts to k within each partition before it shuffles, which takes a plain bound on
+    the row number."""
+    numbered = hits.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), F.col(tie))))
+    return numbered.filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,16 +74,30 @@ def idf(frequency: DataFrame, documents: int, most: int | None = None) -> DataFr
 
 
 def weights(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """(key, term, w): tf-idf weights of unit length for each document."""
-    raw = counts.join(terms.select("term", "idf"), "term").withColumn("w", F.col("n") / F.col("size") * F.col("idf"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("w"))
+    """(key, term, w): tf-idf weights of unit length for each document, in partitions by document.
+
+    The lengths are taken where the weights lie, so after the weights have gone to their document nothing moves again.
+    """
+    raw = counts.join(terms.select("term", "idf"), "term").select(key, "term", (F.col("n") / F.col("size") * F.col("idf")).alias("w"))
+    # A stated number of partitions isn't merged by size: little data per partition still means much work behind it.
+    placed = raw.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return placed.withColumn("w", F.col("w") / length)
+
+
+#: Rows of query weights up to which they are sent to every task; beyond, both sides are shuffled by term.
+BROADCAST_WEIGHTS = 500_000
 
 
 def sparse_scores(query_weights: DataFrame, doc_weights: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): sums of products over shared terms, by an equi-join on the term."""
+    """(query_id, doc_id, score): sums of products over shared terms, by an equi-join on the term.
+
+    A bounded set of queries is sent to the postings, which stay in their partitions by document: the sums are then
+    complete where they arise, and only the best of each partition are moved to be ranked.
+    """
     q = query_weights.withColumnRenamed("w", "qw")
-    joined = q.join(doc_weights.withColumnRenamed("w", "dw"), "term")
+    small = q.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
+    joined = (F.broadcast(q) if small else q).join(doc_weights.withColumnRenamed("w", "dw"), "term")
     return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), DIGITS).alias("score"))
 
 
