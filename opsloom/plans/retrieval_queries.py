@@ -39,7 +39,8 @@ def _hits(spark, d, k: int = 20) -> DataFrame:
     words = text.eval_tokens(F.lower(F.array_join("expected_keywords", " ")))
     by_keywords = q.select(F.struct(F.lit(2).alias("route"), "query_id").alias("query_id"), words.alias("tokens"))
     asked = retrieval.term_counts(by_words.unionByName(by_keywords), "query_id", F.col("tokens"))
-    scores = retrieval.sparse_scores(retrieval.weights(asked, terms, "query_id"), retrieval.weights(postings, terms, "doc_id"))
+    asked = stage_table(retrieval.weights(asked, terms, "query_id"), "asked")
+    scores = retrieval.sparse_scores(asked, retrieval.weights(postings, terms, "doc_id"))
     best = retrieval.top(scores, k, ["query_id"])
     return best.select("query_id.*", "doc_id", "score", "rank")
 
