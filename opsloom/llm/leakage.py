@@ -2,10 +2,12 @@
 
 All items go into one Aho-Corasick automaton. Texts are folded first: compatibility forms, case, blanks, punctuation and
 invisible characters don't count, and every folded character knows its place in the original. The patterns are the
-windows of each passage that hold a digit, as those tell passages written from the same phrases apart. One scan of a
-document finds the windows of every item in it. For each item with enough of them, the document around the windows is
-then compared with the passage in full: short substrings of the passage that occur there in the passage's order are
-chained, and the share of the passage that the chain covers decides.
+windows of each passage that few passages share, as those tell passages written from the same phrases apart. One scan of a document finds the windows of every item in it. Then either of two comparisons decides:
+
+* Windows that few passages share are chained in the passage's order over the whole document and extended as far as the
+  texts agree. An item goes without this only where even all that its windows could be extended to would be too little.
+* Where enough of those windows that hold a digit stand close together, or the first comparison shows a good part of the passage,
+  short substrings of the passage that occur around them in its order are chained, and what these cover counts.
 
 Defined results: null, empty and blank texts and passages reveal nothing. A document is reported once for each item;
 copies of a document each count. Repeated rows of one document or item give one row. Queries, keywords and parts of
@@ -18,6 +20,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -28,9 +31,17 @@ from pyspark.sql import functions as F
 WINDOW, HAN_WINDOW = 14, 7
 #: Characters of the substrings that are chained, in the same scripts.
 STEP, HAN_STEP = 8, 4
-#: Least share of an item's windows that a document must hold close together. Phrases that passages and documents
-#: have in common hold few of them.
-OWN = 0.45
+#: Passages that may share a window that still tells of each of them; of a passage with few such windows, those are
+#: taken that the fewest passages share, up to half of all.
+RARE = 3
+#: Windows' lengths, or else this share of the passage, from which a run tells of a passage without a digit in a rare window.
+LONG, LONG_SHARE = 4, 0.45
+#: Windows' lengths from which a run counts wherever it stands; shorter ones do within the passage's length of another run.
+SOLE = 2
+#: Least share of an item's windows with a digit that a document must hold close together for short substrings to count,
+#: or else of the passage that must stand there in runs with a rare window. Phrases that passages and documents have in
+#: common hold few of them.
+OWN, RUNS = 0.45, 0.45
 #: Least share of a passage that a document must hold in order.
 LEAST = 0.5
 #: A passage mixed with other text is looked for in so many times its own length.
@@ -69,25 +80,100 @@ class Items:
     """The folded passages and their automaton."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.passage = {i: fold(p) for i, p in rows if p}
+        # Equal passages are looked for once.
+        self.items: dict[int, list[int]] = {}
+        self.passage: dict[int, str] = {}
+        self.places: dict[int, list[int]] = {}
+        first: dict[str, int] = {}
+        for i, p in rows:
+            plain = fold(p) if p else ""
+            if not plain:
+                continue
+            if plain in first:
+                self.items[first[plain]].append(i)
+                continue
+            first[plain] = i
+            self.items[i], self.passage[i], self.places[i] = [i], plain, places(p.strip())
         self.han = {i: _han(p) for i, p in self.passage.items()}
-        windows: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.total: dict[int, int] = {}
+        self.size = {i: min(HAN_WINDOW if self.han[i] else WINDOW, (len(p) + 1) // 2) for i, p in self.passage.items()}
+        sharing: dict[str, set[int]] = defaultdict(set)
         for i, p in self.passage.items():
-            size = min(HAN_WINDOW if self.han[i] else WINDOW, len(p))
-            here = [k for k in range(len(p) - size + 1) if any(c.isdigit() for c in p[k : k + size])] if size else []
-            self.total[i] = len(here)
-            for k in here:
-                windows[p[k : k + size]].append((i, k))
+            for w in self._windows(i):
+                sharing[w].add(i)
+        patterns: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        #: Rare windows of each item that hold a digit, and how far a run of each rare window could reach.
+        self.digits: dict[int, set[int]] = {}
+        self.reach: dict[int, dict[int, tuple[int, int]]] = {}
+        #: Fewer windows than this never are enough of an item.
+        self.fewest: dict[int, float] = {}
+        for i, p in self.passage.items():
+            size, windows = self.size[i], self._windows(i)
+            shared = [len(sharing[w]) for w in windows]
+            rare = max(RARE, sorted(shared)[(len(shared) - 1) // 2])
+            own = [k for k, n in enumerate(shared) if n <= rare]
+            lows, highs = [0, *(k + 1 for k in own[:-1])], [*(k + size - 1 for k in own[1:]), len(p)]
+            self.reach[i] = {k: (a, b) for k, a, b in zip(own, lows, highs)}
+            self.digits[i] = {k for k in own if any(c.isdigit() for c in windows[k])}
+            widest = accumulate(sorted((b - a for a, b in self.reach[i].values()), reverse=True))
+            self.fewest[i] = next((n for n, held in enumerate(widest, 1) if held >= self._least(i)), len(own))
+            if self.digits[i]:
+                self.fewest[i] = min(self.fewest[i], OWN * len(self.digits[i]))
+            for k in own:
+                patterns[windows[k]].append((i, k))
         self.automaton = ahocorasick.Automaton()
-        for w, where in windows.items():
-            # A window that many passages share tells nothing of any of them.
+        for w, where in patterns.items():
             self.automaton.add_word(w, (len(w), where))
-        if windows:
+        if patterns:
             self.automaton.make_automaton()
-        self.any = bool(windows)
+        self.any = bool(patterns)
         self.steps: dict[int, dict[str, list[int]]] = {}
 
+    def _windows(self, item: int) -> list[str]:
+        p, size = self.passage[item], self.size[item]
+        return [p[k : k + size] for k in range(len(p) - size + 1)]
+
+    def _share(self, item: int, parts: list[tuple[int, int]]) -> float:
+        """The share of the passage as it was written in rising parts of the folded one, with the blanks around them."""
+        at, hidden, reach = self.places[item], 0, 0
+        for a, b in parts:
+            a, b = max(reach, at[a - 1] + 1 if a else 0), at[b]
+            hidden += max(0, b - a)
+            reach = max(reach, b)
+        return hidden / at[-1]
+
+    def _least(self, item: int) -> float:
+        """Folded characters that runs must hold at least; a tenth less, as the blanks around them count as well."""
+        return 0.9 * RUNS * len(self.passage[item])
+
+    def _could_hold(self, item: int, found: list[tuple[int, int]]) -> bool:
+        """Whether runs with the rare windows found could make up RUNS of the passage. A rare window that isn't found ends a run."""
+        reach, hidden, end = self.reach[item], 0, 0
+        for a, b in sorted({reach[k] for _, k in found if k in reach}):
+            hidden += max(0, b - max(a, end))
+            end = max(end, b)
+        return hidden >= self._least(item)
+
+    def runs(self, item: int, plain: str, found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, start in the text) of each part of the passage that the text holds with a rare window, in order."""
+        p, size, reach = self.passage[item], self.size[item], self.reach[item]
+        out: list[tuple[int, int, int]] = []
+        done = at_done = 0
+        for k, at in _rising([(k, at) for at, k in found if k in reach]):
+            if out and at - k == out[-1][2] - out[-1][0] and k + size <= done:
+                continue
+            a, b = k, k + size
+            while a > done and at - (k - a) > at_done and p[a - 1] == plain[at - (k - a) - 1]:
+                a -= 1
+            while b < len(p) and at + b - k < len(plain) and p[b] == plain[at + b - k]:
+                b += 1
+            out.append((a, b, at - (k - a)))
+            done, at_done = b, at + b - k
+        # Long texts hold many short phrases of any passage.
+        long, telling = min(LONG * size, LONG_SHARE * len(p)), reach.keys() & self.digits[item]
+        out = [r for r in out if r[1] - r[0] >= long or any(k in telling for k in _whole_numbers(p, plain, *r, size))]
+        gaps = [len(plain), *(n[2] - (r[2] + r[1] - r[0]) for r, n in zip(out, out[1:])), len(plain)]
+        return [r for r, *gap in zip(out, gaps, gaps[1:]) if r[1] - r[0] >= SOLE * size or min(gap) <= len(p)]
+
     def substrings(self, item: int) -> tuple[int, dict[str, list[int]]]:
         size = HAN_STEP if self.han[item] else STEP
         if item not in self.steps:
@@ -100,56 +186,102 @@ class Items:
     def covered(self, item: int, region: str) -> tuple[float, int, int]:
         """The share of the passage that substrings in the passage's order cover, and where they begin and end."""
         size, at = self.substrings(item)
-        # The longest chain of substrings that rise in both; of one place in the region the later positions come first,
-        # so that it takes part once.
-        tops: list[int] = []
-        ends: list[int] = []
-        pairs: list[tuple[int, int, int]] = []
-        for j in range(len(region) - size + 1):
-            for i in at.get(region[j : j + size], ()):
-                k = bisect_left(tops, i)
-                pairs.append((i, j, ends[k - 1] if k else -1))
-                if k == len(tops):
-                    tops.append(i)
-                    ends.append(len(pairs) - 1)
-                else:
-                    tops[k] = i
-                    ends[k] = len(pairs) - 1
-        if not ends:
+        # Of one place in the region the later positions come first, so that it takes part once.
+        chain = _rising([(i, j) for j in range(len(region) - size + 1) for i in at.get(region[j : j + size], ())])
+        if not chain:
             return 0.0, 0, 0
-        chain, k = [], ends[-1]
-        while k >= 0:
-            chain.append(pairs[k][:2])
-            k = pairs[k][2]
-        chain.reverse()
-        hidden, reach = 0, 0
-        for i, _ in chain:
-            hidden += max(0, i + size - max(reach, i))
-            reach = max(reach, i + size)
-        return hidden / len(self.passage[item]), chain[0][1], chain[-1][1] + size
+        return self._share(item, [(i, i + size) for i, _ in chain]), chain[0][1], chain[-1][1] + size
 
     def in_text(self, text: str) -> Iterator[tuple[int, float, int, int]]:
         """(item, share, start, end) of each item of which the text holds enough, with original offsets."""
         plain = fold(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for end, (size, where) in self.automaton.iter(plain):
+            at = end - size + 1
             for i, k in where:
-                hits[i].append((end - size + 1, k))
+                hits[i].append((at, k))
         origin: list[int] | None = None
         for i, found in hits.items():
-            least = OWN * self.total[i]
-            if len(found) < least:
-                continue
-            length = len(self.passage[i])
-            count, low, high = _densest(found, SPREAD * length)
-            if count < least:
+            if len(found) < self.fewest[i]:
                 continue
-            # As far around as the rest of the passage would reach.
-            low, high = max(0, low - length), high + length
-            share, a, b = self.covered(i, plain[low:high])
-            if share >= LEAST:
+            shown = self._by_runs(i, plain, found) or self._by_digits(i, plain, found)
+            if shown:
                 origin = origin or places(text)
-                yield i, share, origin[low + a], origin[low + b - 1] + 1
+                share, a, b = shown
+                for item in self.items[i]:
+                    yield item, share, origin[a], origin[b - 1] + 1
+
+    def _by_runs(self, i: int, plain: str, found: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+        if not self._could_hold(i, found):
+            return None
+        runs = self.runs(i, plain, found)
+        share = self._share(i, [(a, b) for a, b, _ in runs])
+        if share >= LEAST:
+            return share, runs[0][2], runs[-1][2] + runs[-1][1] - runs[-1][0]
+        if share < RUNS:
+            return None
+        # The text around the runs, as far as the passage up to the runs before and after, and a window more, would reach.
+        near: list[list[int]] = []
+        before = [0, *(b for _, b, _ in runs[:-1])]
+        after = [*(a for a, _, _ in runs[1:]), len(self.passage[i])]
+        for (a, b, at), c, d in zip(runs, before, after):
+            low, high = max(0, at - (a - c) - self.size[i]), min(len(plain), at + (b - a) + (d - b) + self.size[i])
+            if near and low <= near[-1][1]:
+                near[-1][1] = max(high, near[-1][1])
+            else:
+                near.append([low, high])
+        spots = [k for low, high in near for k in range(low, high)]
+        share, a, b = self.covered(i, "".join(plain[low:high] for low, high in near))
+        return (share, spots[a], spots[b - 1] + 1) if share >= LEAST else None
+
+    def _by_digits(self, i: int, plain: str, found: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+        least, length = OWN * len(self.digits[i]), len(self.passage[i])
+        if not least or len(found) < least:
+            return None
+        found = [(at, k) for at, k in found if k in self.digits[i]]
+        if len(found) < least:
+            return None
+        count, low, high = _densest(found, SPREAD * length)
+        if count < least:
+            return None
+        # As far around as the rest of the passage would reach.
+        low, high = max(0, low - length), high + length
+        share, a, b = self.covered(i, plain[low:high])
+        return (share, low + a, low + b) if share >= LEAST else None
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of (place in the passage, place in the text), given by place in the text, that rises in both."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for n, (i, _) in enumerate(pairs):
+        k = bisect_left(tops, i)
+        before.append(ends[k - 1] if k else -1)
+        if k == len(tops):
+            tops.append(i)
+            ends.append(n)
+        else:
+            tops[k] = i
+            ends[k] = n
+    chain, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    chain.reverse()
+    return chain
+
+
+def _whole_numbers(p: str, plain: str, a: int, b: int, at: int, size: int) -> range:
+    """Places of the windows of a run that lie between numbers which only begin or end alike in passage and text."""
+    end = at + b - a
+    if p[a].isdigit() and (p[a - 1 : a].isdigit() or plain[at - 1 : at].isdigit()):
+        while a < b and p[a].isdigit():
+            a += 1
+    if p[b - 1].isdigit() and (p[b : b + 1].isdigit() or plain[end : end + 1].isdigit()):
+        while a < b and p[b - 1].isdigit():
+            b -= 1
+    return range(a, b - size + 1)
 
 
 def _densest(found: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:

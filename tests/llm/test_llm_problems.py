@@ -186,6 +186,34 @@ def test_leaks(spark):
     assert leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+PROSE = "The standby site lost its route to the archive while the network crew was moving racks. Nobody noticed the queue growing until the night shift saw stale prices. We then drained the old broker by hand and asked the billing team to replay what was missing."
+LATE = "Nobody on the duty desk saw the warning because the pager had been silenced for the whole of the night shift before. Later 17 of 93 shards on node-k4 moved, INC-4471 was opened at 10:42, v3.8.1 was rolled back to v3.7.9 and port 9113 closed at 11:05."
+
+
+def _half(text, last=False):
+    n = -(-len(text) // 2)
+    return text[-n:] if last else text[:n]
+
+
+def _interleaved(text):
+    return ("\n" + "Meanwhile other people wrote about lunch and weather. " * 30 + "\n").join(text.split(". "))
+
+
+@pytest.mark.parametrize("passage", [PASSAGE, PROSE, LATE])
+def test_halves_and_interleaved_passages_are_found(passage):
+    known = leakage.Items([(1, passage), (2, OTHER), (3, passage), (4, "")])
+    for part in (_half(passage), _half(passage, True), _interleaved(passage), "One. " * 90 + _half(passage, True) + " Two." * 90):
+        assert {i for i, *_ in known.in_text(part)} == {1, 3}
+    for part in (passage[: len(passage) // 3], passage[-len(passage) // 3 :], "Meanwhile other people wrote about lunch. " * 20):
+        assert not list(known.in_text(part))
+
+
+def test_half_that_two_passages_share():
+    shared = PROSE[:130]
+    known = leakage.Items([(1, shared + LATE[:110]), (2, shared + PASSAGE[:110])])
+    assert {i for i, *_ in known.in_text("x " * 50 + shared + " y" * 50)} == {1, 2}
+
+
 def test_chain_matches_brute_force():
     rng = random.Random(2)
     for _ in range(30):
