@@ -116,13 +116,20 @@ def duration_seconds(text: Column, low: int = 60, high: int = 7200) -> Column:
     return F.when((n * factor).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), n * factor)))
 
 
-def sliding_chunks(text: Column, size: int = 400, overlap: int = 100, most: int = 8) -> Column:
-    """Overlapping windows over a text; where they would be too many, the stride is widened so that they still cover it."""
+#: The windows that the reference takes of a text at most.
+REFERENCE_MOST = 8
+
+
+def sliding_chunks(text: Column, size: int = 400, overlap: int = 100, most: int | None = REFERENCE_MOST) -> Column:
+    """Overlapping windows over a text. Where they would be more than ``most``, the stride is widened so that they reach
+    from its beginning to its end; from ``most * size`` characters on the text between them is then in none. None: all."""
     n = F.length(text)
     stride = F.lit(max(1, size - overlap))
     count = lambda s: F.floor((n - size + s - 1) / s) + 1
-    wide = F.greatest(F.lit(1), F.floor((n - size + max(1, most - 1) - 1) / max(1, most - 1)))
-    step = F.when(count(stride) > most, wide).otherwise(stride).cast("int")
+    step = stride
+    if most is not None:
+        wide = F.greatest(F.lit(1), F.floor((n - size + max(1, most - 1) - 1) / max(1, most - 1)))
+        step = F.when(count(stride) > most, wide).otherwise(stride).cast("int")
     many = F.transform(
         F.sequence(F.lit(0), (F.greatest(count(step), F.lit(1)) - 1).cast("int")),
         lambda k: F.substring(text, k * step + 1, F.lit(size)),

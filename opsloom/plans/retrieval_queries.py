@@ -149,10 +149,12 @@ SIMPLE_RERANK = f"""WITH {ROUTES}, s AS (SELECT query_id, doc_id, round(score *
 
 
 def chunk_rerank(spark, d):
-    """The best chunk's lexical overlap with the question, for each hit: a reranker with the default scorer."""
-    docs = _corpus(spark, d).select("doc_id", F.posexplode(text.sliding_chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    """The best chunk's lexical overlap with the question, for each hit: a reranker with the default scorer. Every chunk is scored."""
+    docs = _corpus(spark, d).select("doc_id", "text")
     hits = _route(spark, d).select("query_id", "doc_id").join(_queries(spark, d).select("query_id", "query"), "query_id")
-    pairs = hits.join(docs, "doc_id")
+    # Only documents that are hits are cut.
+    cut = F.explode(text.sliding_chunks(F.col("text"), most=None)).alias("chunk")
+    pairs = docs.join(F.broadcast(hits), "doc_id").select("query_id", "doc_id", "query", cut)
     overlap = retrieval.lexical_overlap(_tokens("query"), _tokens("chunk"))
     best = pairs.groupBy("query_id", "doc_id").agg(F.round(F.max(overlap), 9).alias("score"))
     return _shown(retrieval.top(best, 5, ["query_id"]), "query_id", "doc_id", "rank")

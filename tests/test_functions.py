@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import governance, text
 from opsloom.operators import changes, chunking, filters, folds, retrieval, timeseries
+from opsloom.plans import retrieval_queries
 from opsloom.sources import documents
 
 
@@ -61,6 +62,23 @@ def test_sliding_chunks_cover(spark, n):
     assert len(got) <= 8
 
 
+@pytest.mark.parametrize("n", [0, 1, 400, 401, 700, 3201, 50_000])
+def test_all_sliding_chunks_hold_every_character(spark, n):
+    given = "".join(chr(97 + k % 26) for k in range(n))
+    got = value(spark, text.sliding_chunks(F.col("t"), most=None), t=given)
+    assert all(len(c) <= 400 for c in got) and got[0] + "".join(c[100:] for c in got[1:]) == given
+
+
+def test_chunk_rerank_reads_between_the_reference_windows(spark, tmp_path):
+    body = "plain words here. " * 600
+    docs = [(1, body[:5400] + "zebra quagga okapi" + body[5400:], "s", None), (2, "zebra other", "s", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, valid_until string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(7, "zebra quagga okapi", ["x"])]
+    spark.createDataFrame(asked, "item_id long, query string, expected_keywords array<string>").write.parquet(str(tmp_path / "eval_items.parquet"))
+    best = retrieval_queries.chunk_rerank(spark, str(tmp_path)).orderBy("rank").first()
+    assert best.doc_id == 1
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, "b", "o1"), (4, None, "o2")], "id int, k string, org string")
     ids = lambda rule: [r.id for r in df.filter(filters.compiled(rule)).orderBy("id").collect()]
