@@ -101,6 +101,9 @@ def _fusion_sql(value: str) -> str:
 def hybrid_parent_child(spark, d):
     """The flagship: two routes, fused, rolled up to the source as parent with votes, aged, cut.
 
+    Both routes are sparse: the first asks with the question's words, the second with the expected keywords, which are
+    the answer key, so its quality says nothing of unseen questions. Of RT-6 the dense route, the max-merge of variants,
+    the heading filter with its fallback and the rerank aren't offered.
     A hit whose document is out of date counts half; a parent is as good as its best hit and 0.1 for each further one.
     """
     docs = _corpus(spark, d).select("doc_id", F.col("source").alias("parent_id"), "valid_until")
