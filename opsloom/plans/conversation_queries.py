@@ -133,7 +133,11 @@ DOCUMENT_PAGES = """SELECT doc_id, title, substr(text, 1, 50) AS head, (SELECT c
 
 
 def merged_results(spark, d):
-    """Requests and turns of one user base merged, the first of each text kept."""
+    """Requests and turns of one user base merged, the first kept of each user's texts that begin with the same 100 characters.
+
+    The key is a prefix, as in the SQL: different long texts of a user with a common beginning count as one. The reference's key
+    (SET-1) has doc_id as well, which these tables lack.
+    """
     a = table(spark, d, "chat_requests").select("user_id", F.col("message").alias("text"), F.lit(0).alias("side"), F.col("request_id").alias("id"))
     b = table(spark, d, "turns").select("user_id", F.col("content").alias("text"), F.lit(1).alias("side"), F.col("turn_id").alias("id"))
     rows = a.unionByName(b).filter("text IS NOT NULL AND user_id IS NOT NULL")
