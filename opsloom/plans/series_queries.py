@@ -162,13 +162,16 @@ INHIBITED = """
       (SELECT 1 FROM t c WHERE c.severity = 'critical' AND c.instance = t.instance AND c.hour = t.hour) GROUP BY 1"""
 
 
-def topology(spark, d):
-    """Nations that a supplier's nation reaches in one or two hops over who buys from whom."""
+def topology(spark, d, quantity: int = 50, lines: int = 3):
+    """Nations that a supplier's nation reaches in one or two hops over who buys much from whom.
+
+    An edge stands for at least ``lines`` order lines of at least ``quantity`` pieces each, as in the SQL; other lines don't count.
+    """
     line, orders, customer = (table(spark, d, n) for n in ("lineitem", "orders", "customer"))
     supplier = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
-    big = line.filter("l_quantity >= 50").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    big = line.filter(F.col("l_quantity") >= quantity).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     sold = big.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    edges = sold.groupBy("src", F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("n")).filter("n >= 3").select("src", "dst")
+    edges = sold.groupBy("src", F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("n")).filter(F.col("n") >= lines).select("src", "dst")
     one = edges.withColumn("hops", F.lit(1))
     two = edges.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").withColumn("hops", F.lit(2))
     return one.unionByName(two).groupBy("src", "dst").agg(F.min("hops").alias("hops"))

@@ -37,3 +37,10 @@ def test_nothing_but_the_subpackage_imports_it():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "opsloom.llm" not in path.read_text()
+
+
+def test_topology_reach_takes_its_edge_rule(spark):
+    from opsloom.plans import series_queries
+
+    few, all_ = (series_queries.topology(spark, SMALL, *rule).filter("hops = 1").count() for rule in ((), (0, 1)))
+    assert few < all_
