@@ -34,6 +34,8 @@ BIAS = {"email": 3.0, "phone": 1.0, "id_number": 0.5, "address": 1.0, "name": -2
 CUE, DECOY, CHECKED, UNCHECKED = 2.5, -5.0, 2.0, -4.0
 FAMILY, GIVEN, ORDINARY, ENDING, CAPITAL = 3.5, 2.2, 0.6, 2.0, 0.3
 CHAIN, SKIP = 1.2, 1.2
+#: What a further mention of a candidate's words has besides, so that it is about even and the skip edges decide.
+REPEAT = 2.2
 ROUNDS = 8
 
 
@@ -231,18 +233,25 @@ def _latin_names(text: str, names: Names, taken: list[_Node]) -> list[list[_Node
         run.append(m)
     if run:
         runs.append(run)
-    out = []
+    out, passed = [], []
     for r in runs:
         scores = [odds(m[0]) for m in r]
         before = text[max(0, r[0].start() - 30) : r[0].start()]
         behind = text[r[-1].end() : r[-1].end() + 40]
         cue, end = bool(_NAME_CUE.search(before)), bool(_NAME_CUE_AFTER.search(behind))
         if max(scores) < ORDINARY and not (cue and end) and not (len(r) >= 2 and (cue or end)):
+            passed.append(r)
             continue
         more = (CUE if cue else 0.0) + (CUE if end else 0.0) + (DECOY if _NAME_DECOY_AFTER.search(behind) else 0.0)
         if len(r) == 1 and not (cue or end):
             more -= 1.0
         out.append([_Node("name", m.start(), m.end(), BIAS["name"] + s + more) for m, s in zip(r, scores)])
+    # Further mentions of the same words, without words that tell.
+    known = {text[n.start : n.end] for run in out for n in run if n.end - n.start > 1}
+    for r in passed:
+        again = [_Node("name", m.start(), m.end(), BIAS["name"] + odds(m[0]) + REPEAT) for m in r if m[0] in known]
+        if again and not _NAME_DECOY_AFTER.search(text[r[-1].end() : r[-1].end() + 40]):
+            out.append(again)
     return out
 
 
@@ -264,7 +273,7 @@ def _han_names(text: str, names: Names) -> list[_Node]:
     for value in {text[n.start : n.end] for n in out}:
         for m in re.finditer(re.escape(value), text):
             if all(m.start() != n.start for n in out):
-                out.append(_Node("name", m.start(), m.end(), BIAS["name"] + (CHECKED if value[0] in names.han else 0.0) + 1.0))
+                out.append(_Node("name", m.start(), m.end(), BIAS["name"] + (CHECKED + 1.0 if value[0] in names.han else REPEAT)))
     return out
 
 

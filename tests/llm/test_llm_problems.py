@@ -123,6 +123,14 @@ def test_skip_edges_carry_labels():
     assert free[1] < 0 < tied[1] and tied[2] > free[2]
 
 
+def test_bare_repeats_follow_the_cued_mention():
+    spans = lambda t: [t[e.start : e.end] for e in pii.entities(t, NAMES)]
+    assert spans("I spoke with Calixto Zorn about the rollback. Later Calixto Zorn came by.") == ["Calixto Zorn"] * 2
+    assert spans("I spoke with Calixto Zorn about the rollback. Later Zorn came by.") == ["Calixto Zorn", "Zorn"]
+    assert spans("麻烦找沈川审批。后来沈川来了。") == ["沈川"] * 2
+    assert spans("Calixto Zorn came by. Later Calixto Zorn left.") == []
+
+
 def test_messages_agree_with_enumeration():
     # On a tree, message passing is exact.
     nodes = [pii._Node("name", k, k + 1, o) for k, o in enumerate([1.0, -0.7, 0.2])]
