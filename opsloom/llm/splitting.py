@@ -6,7 +6,7 @@ cuts c that cost least: one per piece, plus a penalty for the kind of boundary,
 piece's length from an even split.
 
 Defined results: a text at most as long as its limit, and one whose type has no limit, is one piece; a null text is
-none. Every character is in a piece. An overlap that leaves no room for progress counts as half the limit. Cuts keep
+none. Every character is in a piece. An overlap that leaves no room for progress counts as the limit less one. Cuts keep
 user-perceived characters (combining marks, joined emoji, CR LF) together unless one alone exceeds the limit. Type
 names are compared without case and surrounding blanks. Rows that occur twice are cut twice; the caller decides.
 """
@@ -54,33 +54,28 @@ def _glued(text: str, at: int) -> bool:
     )
 
 
-def boundaries(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(text: str, step: int, words: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which the text may be cut, in order, and the penalty of each.
 
-    Ends of paragraphs, lines, sentences and clauses; between two of them that are further apart than half a step also
-    the ends of words; and between two of all these that are further apart than a whole step, so that no piece could
-    reach from one to the next, every position that parts no user-perceived character.
+    Ends of paragraphs, lines, sentences, clauses and (with ``words``) words; and between two of all these that are
+    further apart than a step, so that no piece could reach from one to the next, every position that parts no
+    user-perceived character.
     """
     n = len(text)
     cost: dict[int, float] = {n: 0.0}
-    for penalty, pattern in _BOUNDARIES[:-1]:
+    for penalty, pattern in _BOUNDARIES if words else _BOUNDARIES[:-1]:
         for m in pattern.finditer(text):
             if 0 < m.end() < n:
                 cost.setdefault(m.end(), penalty)
-    for near, more in ((step // 2, _words), (step, _anywhere)):
-        before = 0
-        for at in sorted(cost):
-            if at - before > near:
-                cost.update(more(text, before, at, step))
-            before = at
+    before = 0
+    for at in sorted(cost) if words else ():
+        if at - before > step:
+            cost.update(_anywhere(text, before, at, step))
+        before = at
     where = np.array(sorted(cost))
     return where, np.array([cost[k] for k in where.tolist()])
 
 
-def _words(text: str, before: int, at: int, step: int) -> dict[int, float]:
-    return {m.end(): WORD for m in _BOUNDARIES[-1][1].finditer(text, before, at) if before < m.end() < at}
-
-
 def _anywhere(text: str, before: int, at: int, step: int) -> dict[int, float]:
     free = [k for k in range(before + 1, at) if not _glued(text, k)]
     # A run of joined characters longer than a step can only be cut inside.
@@ -94,18 +89,26 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     step = limit - overlap
-    where, penalty = boundaries(text, step)
-    pieces = 1 + -(-(n - limit) // step)
-    even = (n + (pieces - 1) * overlap) / pieces
+    fewest = 1 + -(-(n - limit) // step)
+    even = (n + (fewest - 1) * overlap) / fewest
+    # A way with a cut behind a word or inside one costs at least this, so a cheaper way without such cuts is the best.
+    price, cuts = _cheapest(*boundaries(text, step, words=False), limit, overlap, even)
+    if not price <= fewest + WORD:
+        cuts = _cheapest(*boundaries(text, step), limit, overlap, even)[1]
+    return [(0, cuts[0])] + [(a - overlap, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def _cheapest(where: np.ndarray, penalty: np.ndarray, limit: int, overlap: int, even: float) -> tuple[float, list[int]]:
+    """The least cost of cuts at the given positions that end with the last of them, and those cuts."""
     count = len(where)
     best = np.full(count, np.inf)
     come = np.full(count, -1)
     weight = IMBALANCE / limit**2
     first = where <= limit
     best[first] = 1 + penalty[first] + weight * (where[first] - even) ** 2
-    lows = np.searchsorted(where, where - step).tolist()
+    lows = np.searchsorted(where, where - (limit - overlap)).tolist()
     # A cut at or before the overlap would repeat a piece whole, so nothing follows on it.
     before = np.where(where > overlap, best, np.inf)
     targets = (where + overlap - even).tolist()
@@ -120,18 +123,20 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         if total < best[j]:
             best[j] = before[j] = total
             come[j] = low + k
+    if best[-1] == np.inf:
+        return np.inf, []
     cuts, j = [], count - 1
     while j >= 0:
         cuts.append(int(where[j]))
         j = come[j]
-    cuts.reverse()
-    return [(0, cuts[0])] + [(a - overlap, b) for a, b in zip(cuts, cuts[1:])]
+    return float(best[-1]), cuts[::-1]
 
 
 def pieces(df: DataFrame, limits: DataFrame, key: str, kind: str, text: str, keep: list[str]) -> DataFrame:
     """(key, *keep, oversized, piece_no, start, end, piece) of each row of df with a text.
 
-    limits: (element_type, max_chars, overlap_chars), one row for each type. keep: further columns to hand on, such as
+    oversized: whether the text came out in more than one piece. limits: (element_type, max_chars, overlap_chars), one
+    row for each type. keep: further columns to hand on, such as
     the heading path.
     """
     plain = lambda c: F.lower(F.btrim(F.col(c), F.lit(" \t")))
@@ -140,25 +145,26 @@ def pieces(df: DataFrame, limits: DataFrame, key: str, kind: str, text: str, kee
     rows = df.filter(F.col(text).isNotNull()).select(
         F.col(key), *(F.col(c) for c in keep), F.col(text).alias("__text"), plain(kind).alias("__kind")
     )
-    rows = rows.join(rule, "__kind", "left").withColumn("oversized", F.coalesce(F.length("__text") > F.col("__rule.max_chars"), F.lit(False)))
+    rows = rows.join(rule, "__kind", "left")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            at, number, starts, ends, parts = [], [], [], [], []
+            at, several, number, starts, ends, parts = [], [], [], [], [], []
             for row, (whole, limit, overlap) in enumerate(zip(pdf["__text"], pdf["limit"], pdf["overlap"])):
                 found = split(whole, int(limit), int(overlap)) if limit == limit and limit else [(0, len(whole))]
                 for k, (a, b) in enumerate(found):
                     at.append(row)
+                    several.append(len(found) > 1)
                     number.append(k)
                     starts.append(a)
                     ends.append(b)
                     parts.append(whole[a:b])
-            out = pdf.iloc[at][[key, *keep, "oversized"]].reset_index(drop=True)
-            yield out.assign(piece_no=number, start=starts, end=ends, piece=parts)
+            out = pdf.iloc[at][[key, *keep]].reset_index(drop=True)
+            yield out.assign(oversized=several, piece_no=number, start=starts, end=ends, piece=parts)
 
-    fields = [f for f in rows.schema.fields if f.name in (key, *keep, "oversized")]
+    fields = [f for f in rows.schema.fields if f.name in (key, *keep)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     given = rows.select(
-        key, *keep, "oversized", "__text", F.col("__rule.max_chars").alias("limit"), F.col("__rule.overlap_chars").alias("overlap")
+        key, *keep, "__text", F.col("__rule.max_chars").alias("limit"), F.col("__rule.overlap_chars").alias("overlap")
     )
-    return given.mapInPandas(cut, f"{schema}, piece_no int, start int, end int, piece string")
+    return given.mapInPandas(cut, f"{schema}, oversized boolean, piece_no int, start int, end int, piece string")

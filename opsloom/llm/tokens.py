@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public byte-level BPE tokenizer, with offsets, and back.
 
-The tokenizers library encodes over Arrow batches. A byte-level BPE cuts a text into pieces by a pattern and merges
-within each piece, so the ids of a piece never depend on its neighbours. A space before a visible character always
-begins a piece: each text is cut there, the segments are cut by the pattern, and every distinct piece is given to the
-library once per worker and then looked up. The ids are those of encoding the text whole, which the tests compare.
+The tokenizers library encodes over Arrow batches. A byte-level BPE cuts a text into pieces by its pre-tokenizer and
+merges within each piece, so the ids of a piece never depend on its neighbours. A space before a character that is
+visible beyond doubt always begins a piece: each text is cut there, the library's own pre-tokenizer cuts every distinct
+segment further, and every distinct piece is given to the library once per worker and then looked up. The ids are those
+of encoding the text whole, which the tests compare. Tokenizers of another build than this are refused.
 
 Defined results: null and empty texts get an empty list. Strings of special tokens inside a text are ordinary text.
 Lone surrogates can't occur in Arrow strings. Repeated rows and extra columns pass through; an empty table gives an
@@ -12,6 +13,7 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,7 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: Segments that a worker keeps; beyond that it starts anew, which changes no id.
 KEPT_SEGMENTS = 200_000
 
-# At a space that a visible character follows.
-_CUT = re.compile(r" (?=\S)")
-# Fixed value: the pattern by which this family of tokenizers cuts a text into pieces.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# At a space before a character that no version of Unicode takes for a blank. More spaces begin a piece, but needn't.
+_CUT = re.compile(r" (?=[!-~À-ÿĀ-ɏͰ-ϿЀ-ӿ぀-ヿ㐀-鿿가-힣])")
 
 
 @lru_cache(4)
@@ -66,45 +65,49 @@ def token_bytes(name: str, folder: str = TOKENIZER_DIR) -> list[bytes]:
     return out
 
 
+def checked(loaded) -> None:
+    """Refuses a tokenizer whose ids of a text aren't those of its pieces one after the other."""
+    parts = json.loads(loaded.to_str())
+    cut, model = parts["pre_tokenizer"] or {}, parts["model"]
+    plain = parts["normalizer"] is None and parts["truncation"] is None and model["type"] == "BPE" and not model.get("dropout")
+    if not (plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")):
+        raise ValueError("only byte-level BPE without normaliser, truncation, dropout and prefix space can be encoded by pieces")
+
+
 class Encoder:
     """Ids of texts, each distinct piece encoded once."""
 
     def __init__(self, name: str, folder: str) -> None:
         self.tokenizer = tokenizer(name, folder)
-        self.known: dict[str, bytes] = {}
+        checked(self.tokenizer)
+        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        #: Ids of segments that begin a text, of those behind a space (kept without it), and of pieces.
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def learn(self, segments: list[str], names: list[str]) -> None:
+    def learn(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment."""
         if len(self.pieces) > KEPT_SEGMENTS:
             self.pieces = {}
         pieces = self.pieces
-        cut = [_PIECES.findall(s) for s in segments]
+        cut = [[s[a:b] for _, (a, b) in self.cut(s)] for s in segments]
         new = list(dict.fromkeys(p for c in cut for p in c if p not in pieces))
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             pieces[p] = np.array(e.ids, np.int32).tobytes()
-        for n, c in zip(names, cut):
-            self.known[n] = b"".join([pieces[p] for p in c])
+        return [b"".join([pieces[p] for p in c]) for c in cut]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids end."""
-        if len(self.known) > KEPT_SEGMENTS:
-            self.known = {}
-        known = self.known
-        # The first segment has no space before it, so it is told apart from the others by a mark no segment has.
+        if len(self.first) + len(self.later) > KEPT_SEGMENTS:
+            self.first, self.later = {}, {}
+        first, later = self.first, self.later
         cut = [_CUT.split(t) if t else [] for t in texts]
-        missing: dict[str, None] = {}
-        for parts in cut:
-            if parts:
-                if "\x00^" + parts[0] not in known:
-                    missing["\x00^" + parts[0]] = None
-                for p in parts[1:]:
-                    if p not in known:
-                        missing[p] = None
-        if missing:
-            names = list(missing)
-            real = [n[2:] if n.startswith("\x00^") else " " + n for n in names]
-            self.learn(real, names)
-        blocks = [b"".join([known["\x00^" + p[0]], *map(known.__getitem__, p[1:])]) if p else b"" for p in cut]
+        fresh = list({p[0]: None for p in cut if p and p[0] not in first})
+        first.update(zip(fresh, self.learn(fresh)))
+        fresh = list({s: None for p in cut for s in p[1:] if s not in later})
+        later.update(zip(fresh, self.learn([" " + s for s in fresh])))
+        blocks = [b"".join([first[p[0]], *map(later.__getitem__, p[1:])]) if p else b"" for p in cut]
         ends = np.cumsum([0, *map(len, blocks)]) // 4
         return np.frombuffer(b"".join(blocks), np.int32), ends
 

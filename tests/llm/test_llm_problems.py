@@ -42,36 +42,64 @@ def cost_of(text, limit, overlap, cuts):
     return total
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(16))
 def test_split_costs_least(seed):
     rng = random.Random(seed)
     text = "".join(rng.choice(["a", "bc", "d. ", ", ", " ", "\n"]) for _ in range(24))
-    limit, overlap = rng.choice([(12, 0), (14, 3), (20, 5)])
+    limit, overlap = rng.choice([(12, 0), (14, 3), (20, 5), (12, 8), (16, 15)])
     if len(text) <= limit:
         return
     found = [b for _, b in splitting.split(text, limit, overlap)]
-    where = splitting.boundaries(text, limit - overlap)[0].tolist()[:-1]
-    best = None
-    for mask in product([0, 1], repeat=len(where)):
-        cuts = [w for w, m in zip(where, mask) if m] + [len(text)]
-        starts = [0] + [c - overlap for c in cuts[:-1]]
-        if all(b - a <= limit for a, b in zip(starts, cuts)) and all(c > overlap for c in cuts[:-1]):
-            cost = cost_of(text, limit, overlap, cuts)
-            best = cost if best is None else min(best, cost)
+    where = splitting.boundaries(text, limit - overlap)[0].tolist()
+
+    def least(at, cuts):
+        """Over every sequence of cuts, one after the other."""
+        if cuts and cuts[-1] == len(text):
+            return cost_of(text, limit, overlap, cuts)
+        if cuts and cuts[-1] <= overlap:
+            return float("inf")
+        reach = [w for w in where if at < w <= (at - overlap if cuts else 0) + limit]
+        return min((least(w, [*cuts, w]) for w in reach), default=float("inf"))
+
+    best = least(0, [])
     assert abs(cost_of(text, limit, overlap, found) - best) < 1e-9
 
 
-@pytest.mark.parametrize("limit,overlap", [(300, 50), (120, 0), (40, 39), (5, 9), (1, 0)])
+@pytest.mark.parametrize("limit,overlap", [(300, 50), (120, 0), (100, 60), (40, 39), (5, 9), (1, 0)])
 @pytest.mark.parametrize("text", ["x" * 2000, "短句。" * 400, "word " * 300, "👩‍🔧" * 200, "é" * 300, "a\r\n" * 300, "no end", "", "é"])
 def test_pieces_cover_and_overlap(text, limit, overlap):
     parts = splitting.split(text, limit, overlap)
-    o = max(0, min(overlap, limit // 2))
+    o = max(0, min(overlap, limit - 1))
     assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(b - a <= limit for a, b in parts)
     assert all(b - a2 == o for (_, b), (a2, _) in zip(parts, parts[1:]))
     if limit == 300:
         assert not any(splitting._glued(text, b) for _, b in parts[:-1])
 
 
+def test_every_end_of_a_word_takes_part():
+    text = "one two, three four five, six seven eight nine ten"
+    where, penalty = splitting.boundaries(text, 20)
+    words = {k + 1 for k, c in enumerate(text) if c == " "} | {len(text)}
+    assert set(where.tolist()) == words and set(penalty.tolist()) == {0.0, splitting.CLAUSE, splitting.WORD}
+
+
+def test_pieces_of_the_tables(spark):
+    limits = {r.element_type: r for r in spark.read.parquet(f"{SMALL}/split_limits.parquet").collect()}
+    items = {r.element_id: r for r in spark.read.parquet(f"{SMALL}/elements.parquet").collect()}
+    by_item = {}
+    for r in queries.p1_pieces(spark, SMALL).collect():
+        by_item.setdefault(r.element_id, []).append(r)
+    assert by_item
+    for k, parts in by_item.items():
+        parts.sort(key=lambda r: r.piece_no)
+        item, rule = items[k], limits[items[k].element_type.strip(" \t").lower()]
+        where = set(splitting.boundaries(item.text, rule.max_chars - rule.overlap_chars)[0].tolist())
+        assert [p.piece_no for p in parts] == list(range(len(parts))) and len(parts) > 1
+        assert all(0 < len(p.piece) <= rule.max_chars and item.text[p.start : p.end] == p.piece and p.end in where for p in parts)
+        assert all(a.end - b.start == rule.overlap_chars for a, b in zip(parts, parts[1:]))
+        assert parts[0].start == 0 and parts[-1].end == len(item.text) and all(p.heading_path == item.heading_path for p in parts)
+
+
 def test_pieces_table(spark):
     rows = [(1, " Paragraph", "One. " * 100, ["h"], "x"), (1, " Paragraph", "One. " * 100, ["h"], "x"), (2, None, "y" * 999, None, "x"), (3, "list", None, [], "x"), (4, "other", "z" * 999, [], "x")]
     df = spark.createDataFrame(rows, "element_id long, kind string, text string, path array<string>, piece_no string")
@@ -154,8 +182,8 @@ def test_mask_keeps_the_rest(spark):
 
 def test_ids_are_those_of_the_library(spark):
     rng = random.Random(5)
-    alphabet = list(" \t\n\r  ab12.,'\"\x1c\x85\xa0　é中。👩‍🔧½²Ⅷ") + ["<|endoftext|>", "'ll", "   "]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, "", "x" * 5000, "中" * 5000]
+    alphabet = list(" \t\n\r  ab12.,'\"\x00^\x1c\x85\xa0\u180e　é中。👩‍🔧½²Ⅷ") + ["<|endoftext|>", "'ll", "   ", " \x00^"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + [None, "", "q \x00^x", "x" * 5000, "中" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("ids", F.lit("clash"))
     got = {r.k: r for r in tokens.with_offsets(df, "t").withColumn("back", tokens.text_of(F.col("ids"))).collect()}
     plain = {r.k: r.i for r in df.select("k", tokens.ids_of(F.col("t")).alias("i")).collect()}
@@ -168,6 +196,11 @@ def test_ids_are_those_of_the_library(spark):
         assert all(a <= c <= b for (a, b), (c, _) in zip(spans, spans[1:]))
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        tokens.Encoder("word_bpe_49k", tokens.TOKENIZER_DIR)
+
+
 def test_decoding_a_cut_character(spark):
     ids = tokens.tokenizer("byte_bpe_50k").encode("👩", add_special_tokens=False).ids
     df = spark.createDataFrame([(ids[:1],), ([],), (None,)], "i array<int>")
