@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
 from itertools import product
 
 import numpy as np
@@ -249,6 +251,76 @@ def test_halves_and_interleaved_passages_are_found(passage):
         assert not list(known.in_text(part))
 
 
+DIGITS = "zero one two three four five six seven eight nine".split()
+
+
+def _sentences(text):
+    return [s for s in re.split(r"(?<=[。！？])|(?<=[.!?])\s+", text) if s]
+
+
+def _mixed(passage, times, others, rng):
+    out = []
+    for sentence in _sentences(passage):
+        out.append(sentence)
+        while sum(map(len, out)) < (times + 1) * passage.index(sentence) + len(sentence):
+            out.append(rng.choice(others))
+    return " ".join(out)
+
+
+# What is done to a passage; whether the result still reveals it.
+ALTERED = {
+    "first 55 %": (lambda p, o, r: p[: int(len(p) * 0.55)], True),
+    "middle 55 %": (lambda p, o, r: p[int(len(p) * 0.2) : int(len(p) * 0.75) + 1], True),
+    "last 55 %": (lambda p, o, r: p[-int(len(p) * 0.55) :], True),
+    "numbers masked": (lambda p, o, r: re.sub(r"\d+", "#", p), True),
+    "digits crossed out": (lambda p, o, r: re.sub(r"\d", "X", p), True),
+    "numbers in words": (lambda p, o, r: re.sub(r"\d", lambda m: f" {DIGITS[int(m[0])]} ", p), True),
+    "one other sentence each": (lambda p, o, r: _mixed(p, 1, o, r), True),
+    "four times other text": (lambda p, o, r: _mixed(p, 4, o, r), True),
+    "eight times other text": (lambda p, o, r: _mixed(p, 8, o, r), True),
+    "accents decomposed": (lambda p, o, r: unicodedata.normalize("NFD", p), True),
+    "every tenth word changed": (lambda p, o, r: " ".join(r.choice(o).split()[0] if r.random() < 0.1 else w for w in p.split(" ")), True),
+    "other numbers": (lambda p, o, r: re.sub(r"\d", lambda m: str((int(m[0]) + r.randint(1, 9)) % 10), p), False),
+    "a third": (lambda p, o, r: p[: len(p) // 3], False),
+}
+
+
+@pytest.fixture(scope="module")
+def passages():
+    import pandas as pd
+
+    items = pd.read_parquet(f"{SMALL}/eval_items.parquet")
+    rows = list(zip(items.item_id.tolist(), items.passage.tolist()))
+    known = leakage.Items(rows)
+    texts = [t for t in pd.read_parquet(f"{SMALL}/documents.parquet").text.dropna() if 300 < len(t) < 3000]
+    texts = [t for t in texts if not list(known.in_text(t))]
+    return rows, known, [s for t in texts for s in _sentences(t) if 10 < len(s) < 200]
+
+
+@pytest.mark.parametrize("how", sorted(ALTERED))
+def test_altered_passages(passages, how):
+    rows, known, others = passages
+    alter, reveals = ALTERED[how]
+    rng = random.Random(len(how))
+    found = wrong = 0
+    for i, p in rows:
+        around = [" ".join(rng.choice(others) for _ in range(12)) for _ in range(2)]
+        got = {x for x, *_ in known.in_text(f"{around[0]}\n{alter(p, others, rng)}\n{around[1]}")}
+        found += i in got
+        wrong += len(got - {i})
+    if reveals:
+        assert found >= 0.9 * len(rows) and wrong <= 0.01 * found
+    else:
+        # A few passages are told apart by their words alone.
+        assert found <= 0.05 * len(rows) and wrong == 0
+
+
+def test_accents_in_either_form():
+    passage = "Während der Störung wurde die Übergabe übersprungen, weil der Wächter für große Aufträge ausgefallen war und niemand die Rückmeldung prüfte."
+    known = leakage.Items([(1, unicodedata.normalize("NFD", passage))])
+    assert [i for i, *_ in known.in_text("x " + passage)] == [1]
+
+
 def test_half_that_two_passages_share():
     shared = PROSE[:130]
     known = leakage.Items([(1, shared + LATE[:110]), (2, shared + PASSAGE[:110])])
