@@ -360,6 +360,20 @@ def test_automaton_finds_longest_repeats(seed):
     assert stuffing.repeats(text) == brute_repeats(text)
 
 
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("least", [4, 8])
+def test_comparing_substrings_covers_what_the_automaton_covers(seed, least):
+    rng = random.Random(seed)
+    letters = ["abc", "ab", "一二三", "a一😀", "".join(map(chr, range(300, 700))) + "ab"][seed % 5]
+    base = "".join(rng.choice(letters) for _ in range(rng.randint(0, 400)))
+    text = base + "".join(base[k : k + 11] for k in range(0, len(base), 37))
+    automaton = stuffing.covered(text, least)
+    assert (stuffing.repeated(stuffing.code_points(text), least) == automaton).all()
+    want = brute_repeats(text[:150])
+    covered = [any(want[e] >= least and e - want[e] < k <= e for e in range(len(want))) for k in range(len(want))]
+    assert stuffing.covered(text[:150], least).tolist() == covered
+
+
 KEYWORDS = ["disk cleaner", "vps offer", "log tool", "磁盘清理"]
 
 
@@ -372,6 +386,34 @@ def test_stuffed_pages(spark):
            "\n".join(f"{k} A{rng.randint(1, 999)} / {rng.randint(1, 999)}.99 / hot" for k in pick(60)), sentences[:400] + "\n" + " ".join(pick(120))]
     good = [sentences, sentences + "\n" + " ".join(pick(60)), "\n".join(f"- [{k}]({u}): The duty desk was told that it is slow, so we moved it to the other zone." for k, u in zip(pick(40), links)),
             "```\n" + "\n".join(pick(80)) + "\n```", "\n".join("| a | b |" for _ in range(80)), "\n".join(f"2026-01-01T10:00:0{k % 9}Z INFO disk ok" for k in range(80)), "", " \n", None, "0" * 300, "short"]
-    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string").withColumn("bare_share", F.lit(1))
+    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string").withColumn("covered_share", F.lit(1))
     got = {r.doc_id for r in stuffing.judged(df, "doc_id", "text").filter("stuffed_share > 0.5").collect()}
     assert got == set(range(len(bad)))
+
+
+FRENCH = "La panne a commencé quand le commutateur du troisième étage a perdu son alimentation. Personne ne l'a remarqué avant le matin, parce que l'alerte avait été mise en sourdine par l'équipe de nuit. Nous avons ensuite déplacé les machines virtuelles vers l'autre salle et demandé au fournisseur de remplacer la carte. Les clients ont pu se reconnecter peu après midi, mais certaines commandes avaient été perdues."
+RUSSIAN = "Авария началась, когда коммутатор на третьем этаже потерял питание. Никто этого не заметил до утра, потому что оповещение было отключено ночной сменой. Затем мы перенесли виртуальные машины в другой зал и попросили поставщика заменить плату. Клиенты смогли подключиться вскоре после полудня, но некоторые заказы были потеряны."
+GERMAN = "Die Störung begann, als der Verteiler im dritten Stock keinen Strom mehr bekam. Bis zum Morgen fiel das niemandem auf, da der Alarm von der Nachtschicht stumm geschaltet worden war. Danach zogen die virtuellen Maschinen in den anderen Saal um, und der Lieferant tauschte die Karte aus."
+KINDS = [
+    ("and the server of the cheap host is the best host for the price " * 60, True),
+    ("\n".join(["| best vps | cheap host | fast proxy |", "| cheap host | log tool | best vps |"] * 20), True),
+    ("```\n" + "cheap vps best host fast proxy log tool\n" * 60, True),
+    ("\n".join(f"2026-01-0{k % 9 + 1} 10:00 cheap vps best host log tool" for k in range(50)), True),
+    ("\n".join(f"serveur pas cher, hébergement rapide, serveur rapide {k}" for k in range(40)), True),
+    ("\n".join(f"https://shop{k}.example.org/p/{k * 7919}.html" for k in range(50)), True),
+    ("最好备份最好备份!磁盘清理最好备份,磁盘清理 最好备份。" * 12, True),
+    (FRENCH, False), (RUSSIAN, False), (GERMAN, False), ("\n".join([FRENCH] * 5), False), ("\n".join([RUSSIAN] * 3), False),
+    ("| name | state |\n|---|---|\n" + "| disk | full |\n" * 60, False),
+    ("\n".join(f"Nov 15 10:00:{k:02d} db-1 sshd[12]: session opened for user app" for k in range(60)), False),
+    ("\n".join("12 7 2026 0.31 4" for _ in range(60)), False),
+]
+
+
+@pytest.mark.parametrize("text,bad", KINDS)
+def test_pages_of_other_kinds_and_languages(text, bad):
+    assert (stuffing.stuffed(text)[1] > stuffing.LEAST) == bad
+
+
+def test_long_pages_are_judged_whole():
+    page = "cheap vps, best host, log tool, fast proxy, disk cleaner\n" * (2 * stuffing.BLOCK // 50)
+    assert len(page) > stuffing.BLOCK and stuffing.stuffed(page)[1] > 0.9
