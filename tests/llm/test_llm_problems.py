@@ -161,6 +161,60 @@ def test_bare_repeats_follow_the_cued_mention():
     assert spans("Calixto Zorn came by. Later Calixto Zorn left.") == []
 
 
+GIVEN = ["磊", "雪", "志远", "思雨", "建国", "晓"]
+FAMILY = ["韩", "孟", "苏", "程", "温", "陆", "顾", "欧阳"]
+HAN_SENTENCES = ["昨天{}把磁盘换了", "{}今天重启了网关", "我们同事{}说网关挂了", "这台机器交给{}。", "网关是{}改的配置", "请{}看一下告警", "下午{}和运维组开会", "值班的是{}，有事打电话", "告警发给{}了", "{}已经回复"]
+HAN_OTHERS = ["时钟漂移了三分钟", "线程池只按8个客户端设计", "进程空转，流程没走完", "室温过高，温度报警", "登陆失败，陆续恢复", "回顾会上没有提到顾客", "程序没有响应", "远程连接断开", "今天网关重启了"]
+LATIN_SENTENCES = ["Yesterday {} replaced the disk.", "{} restarted the gateway this morning.", "The change was reviewed by {} before lunch.", "We waited for {}.", "Gestern hat {} die Platte getauscht.", "Der Zugang von {} ist gesperrt.", "Hier ist {} aus dem Rechenzentrum.", "Hier, {} a redémarré le serveur.", "Could {} look into it?"]
+
+
+def test_names_in_sentences_of_other_wording():
+    names = pii.Names([(f, "family") for f in FAMILY] + [(f, "family") for f in ("Stenovar", "Pelovar", "Ardovar", "Brandhorst")] + [("Wystan", "given"), ("Liora", "given")])
+    spans = lambda t: [t[e.start : e.end] for e in pii.entities(t, names) if e.kind == "name"]
+    want = [(s.format(f + g), f + g) for s in HAN_SENTENCES for f in FAMILY for g in GIVEN]
+    found = [spans(t) == [n] for t, n in want]
+    assert sum(found) >= 0.9 * len(want)
+    assert [spans(t) for t in HAN_OTHERS] == [[] for _ in HAN_OTHERS]
+    latin = [s.format(n) for s in LATIN_SENTENCES for n in ("Liora Stenovar", "Wystan Brandhorst", "L. Ardovar", "Pelovar")]
+    assert sum(len(spans(t)) == 1 for t in latin) >= 0.9 * len(latin)
+
+
+ADDRESSED = [
+    ("Wir sind in der Hauptstraße 5 bei Regen.", "Hauptstraße 5"), ("Es ging an die Turmgasse 213b, danke", "Turmgasse 213b"), ("Am Markt 7 in Bonn steht der Rechner", "Am Markt 7 in Bonn"),
+    ("Livrer au 12 rue de la Paix, 75002 Paris demain", "12 rue de la Paix, 75002 Paris"), ("Envíalo a Calle Mayor 5, 28013 Madrid por favor", "Calle Mayor 5, 28013 Madrid"), ("Im Schrank 12 in Halle 3 brennt eine Lampe", ""), ("Im Rack 5 ist Platz", ""),
+]
+
+
+@pytest.mark.parametrize("text,want", ADDRESSED)
+def test_addresses_of_more_countries(text, want):
+    found = pii.entities(text, NAMES)
+    assert [text[e.start : e.end] for e in found if e.kind == "address"] == ([want] if want else [])
+    assert pii.masked(text, [e for e in found if e.kind == "address"]) == (text.replace(want, "[ADDRESS]") if want else text)
+
+
+def test_one_telling_mention_reaches_all_others():
+    nodes = [pii._Node("name", 0, 1, 5.0)] + [pii._Node("name", k, k + 1, -0.5) for k in range(1, 40)] + [pii._Node("name", -1, -1, 0.0)]
+    odds = pii.settle(nodes, [(k, 40, pii.SKIP) for k in range(40)])
+    assert min(odds) > 0
+    apart = pii.settle([n._replace(odds=-0.5) for n in nodes[:-1]] + nodes[-1:], [(k, 40, pii.SKIP) for k in range(40)])
+    assert max(apart) < 0
+
+
+def test_the_rest_of_a_masked_text_is_unchanged(spark):
+    texts = {r.rec_id: r.text for r in queries._messages(spark, SMALL).filter("src = 'turns'").collect() if r.text}
+    masked = {r.rec_id: r.masked for r in queries.p4_masked(spark, SMALL).filter("src = 'turns'").collect()}
+    parts = spark.read.parquet(f"{SMALL}/name_parts.parquet").dropna().collect()
+    names = pii.Names(sorted({(r.name_part, r.part_kind) for r in parts}))
+    changed = 0
+    for k, text in texts.items():
+        found = pii.entities(text, names)
+        kept = [text[a:b] for a, b in zip([0, *(e.end for e in found)], [*(e.start for e in found), len(text)])]
+        pattern = "".join(re.escape(part) + (re.escape(pii.PLACEHOLDER[found[n].kind]) if n < len(found) else "") for n, part in enumerate(kept))
+        assert re.fullmatch(pattern, masked[k], re.S)
+        changed += bool(found)
+    assert changed
+
+
 def test_messages_agree_with_enumeration():
     # On a tree, message passing is exact.
     nodes = [pii._Node("name", k, k + 1, o) for k, o in enumerate([1.0, -0.7, 0.2])]
