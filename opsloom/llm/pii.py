@@ -400,8 +400,12 @@ def entities(text: str | None, names: Names) -> list[Entity]:
             alike.setdefault((n.kind, _alike(text[n.start : n.end])), []).append(k)
     for (kind, _), mentions in alike.items():
         if len(mentions) > 1:
-            # One node that all mentions share, so that each reaches every other in two steps.
+            # One node that all mentions share, so that each reaches every other in two steps. What speaks against
+            # mentions without telling words is that the word is rarely a name, which counts once for all of them.
             edges += [(k, len(nodes), SKIP) for k in mentions]
+            against = [k for k in mentions if nodes[k].odds < 0]
+            for k in against:
+                nodes[k] = nodes[k]._replace(odds=nodes[k].odds / len(against))
             nodes.append(_Node(kind, -1, -1, 0.0))
     odds = settle(nodes, edges) if edges else [n.odds for n in nodes]
     kept = sorted(((n.start - n.end, n.start, -o, n) for n, o in zip(nodes, odds) if o > 0 and n.end > 0), key=lambda k: k[:3])
