@@ -3,8 +3,9 @@
 A message identifier of up to 192 bits is laid out in three 64-bit lanes and permuted by a Feistel network, which is a
 bijection: the quotient (the first bits of the permuted identifier) names the shard and the slot, the remainder (all
 lanes, kept whole) tells identifiers apart, so no two different identifiers can ever be taken for one. Every partition
-first folds its own rows into a quotient table, so that a message with very many copies leaves one entry for each
-partition; the entries then go to the shard of their quotient, where each identifier is inserted once.
+first folds its own rows into quotient tables, so that a message with very many copies leaves one entry for each of
+these; the entries then go to the shard of their quotient, where each identifier is inserted once. There are as many
+shards as keep each within a fixed number of rows, whatever the input: the permutation spreads identifiers evenly.
 
 Defined results: rows whose identifier is null are nobody's copy and are kept. Of equal identifiers the row with the
 smallest id is kept; rows that are repeated whole count as one row. Identifiers that don't fit 192 bits are told apart
@@ -26,6 +27,8 @@ LANES = ["q0", "q1", "q2"]
 ROUNDS = 6
 # Rows that one local table takes before it is handed on.
 LOCAL_ROWS = 1 << 17
+# Rows that a shard has room for.
+SHARD_ROWS = 1 << 18
 
 
 def pack8(text: Column) -> Column:
@@ -147,10 +150,21 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ENTRY = "q0 bigint, q1 bigint, q2 bigint, kept bigint, n bigint"
 
 
-def repeated(ids: DataFrame) -> DataFrame:
-    """(q0, q1, q2, kept, n) of each identifier with more than one row, from rows (q0, q1, q2, id)."""
+def repeated(ids: DataFrame, rows: int) -> DataFrame:
+    """(q0, q1, q2, kept, n) of each identifier with more than one row, from so many rows (q0, q1, q2, id)."""
     local = ids.select(*LANES, "id").mapInArrow(_fold, ENTRY)
-    return local.repartition(*LANES).mapInArrow(_shard, ENTRY)
+    bits = max(0, rows // SHARD_ROWS).bit_length()
+    quotient = F.shiftrightunsigned("q0", 64 - bits) if bits else F.lit(0)
+    return local.repartitionById(1 << bits, quotient.cast("int")).mapInArrow(_shard, ENTRY)
+
+
+def _pairs(rows: DataFrame, found: DataFrame, on: list[str], total: int) -> list[DataFrame]:
+    """(kept, id) of the rows of each repeated identifier, those of hot ones by broadcast."""
+    hot = F.col("n") > max(1, total // HOT_SHARE)
+    out = [rows.join(found.filter(~hot).select(*on, "kept"), on)]
+    if not found.filter(hot).isEmpty():
+        out.append(rows.join(F.broadcast(found.filter(hot).select(*on, "kept")), on))
+    return [p.select("kept", "id") for p in out]
 
 
 def copies(df: DataFrame, id_col: str, lanes: list[Column], wide: list[Column]) -> DataFrame:
@@ -167,17 +181,12 @@ def copies(df: DataFrame, id_col: str, lanes: list[Column], wide: list[Column])
         F.col(id_col).cast("bigint").alias("id"), *(x.alias(n) for x, n in zip(lanes, LANES)), text.alias("wide")
     )
     rows = stage_table(rows.filter(F.col("id").isNotNull()), "messages")
-    narrow = rows.filter(F.col("wide").isNull()).select("id", *LANES)
-    found = stage_table(repeated(narrow), "repeated")
-    total = narrow.count()
-    hot = found.filter(F.col("n") > max(1, total // HOT_SHARE))
-    rest = found.filter(F.col("n") <= max(1, total // HOT_SHARE))
-    pairs = [narrow.join(rest.select(*LANES, "kept"), LANES)]
-    if not hot.isEmpty():
-        pairs.append(narrow.join(F.broadcast(hot.select(*LANES, "kept")), LANES))
-    long = rows.filter(F.col("wide").isNotNull())
-    least = long.groupBy("wide").agg(F.min("id").alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    pairs.append(long.join(least.select("wide", "kept"), "wide"))
+    narrow, long = rows.filter(F.col("wide").isNull()).select("id", *LANES), rows.filter(F.col("wide").isNotNull())
+    total = rows.count()
+    pairs = _pairs(narrow, stage_table(repeated(narrow, total), "repeated"), LANES, total)
+    if not long.isEmpty():
+        least = long.groupBy("wide").agg(F.min("id").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+        pairs += _pairs(long, stage_table(least, "repeated"), ["wide"], total)
     out = None
     for p in pairs:
         part = p.filter(F.col("id") != F.col("kept")).select(F.col("kept").alias("kept_id"), F.col("id").alias("copy_id"))

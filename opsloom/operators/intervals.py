@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.session import cut
+from opsloom.session import cut, stage_table
 
 SUMMARY = "part int, head array<string>, tail array<string>, reach bigint, last_start bigint"
 FRAGMENT = "entity array<string>, kind string, from_us bigint, to_us bigint"
@@ -105,6 +105,8 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str, end: str) ->
         F.col(end).cast("bigint").alias("to_us"),
     )
     keys = ["entity", "from_us", "to_us"]
+    # Written once, as the range sort reads its input twice.
+    slim = stage_table(slim, "intervals")
     # The random last key spreads copies of one interval over partitions; it decides nothing.
     spread = slim.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
     placed = spread.repartitionByRange(*keys, "salt").sortWithinPartitions(*keys).drop("salt")

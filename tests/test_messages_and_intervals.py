@@ -59,6 +59,23 @@ def test_copies_match_brute_force(spark):
     assert kept.columns[0] == "id" and "kept" in kept.columns
 
 
+def test_shards_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SHARD_ROWS", 64)
+    rng = random.Random(4)
+    rows = [(k, f"{rng.randint(0, 700):016x}", 5, "firing", "x") for k in range(2000)]
+    df, lanes, wide = _copies(spark, rows)
+    ids = df.select("id", *(x.alias(n) for x, n in zip(lanes, dedup.LANES))).coalesce(2)
+    local = ids.select(*dedup.LANES, "id").mapInArrow(dedup._fold, dedup.ENTRY)
+    found = dedup.repeated(ids, 2000)
+    assert found.rdd.getNumPartitions() == 32
+    top = local.selectExpr("shiftrightunsigned(q0, 59) shard").groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert top <= 2 * dedup.SHARD_ROWS
+    groups = defaultdict(list)
+    for i, p, *_ in rows:
+        groups[p].append(i)
+    assert {(r.kept, r.n) for r in found.collect()} == {(min(g), len(g)) for g in groups.values() if len(g) > 1}
+
+
 def test_copies_of_nothing(spark):
     df, lanes, wide = _copies(spark, [])
     assert dedup.copies(df, "id", lanes, wide).count() == 0
