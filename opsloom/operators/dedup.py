@@ -73,11 +73,13 @@ def unpermute(lanes: np.ndarray) -> np.ndarray:
 class QuotientTable:
     """An open-addressed table over permuted identifiers, filled by whole arrays at a time.
 
-    The slot of an identifier is the first bits of its first lane; collisions go on to the next slot. Complete
-    remainders are compared, so a hit is never false.
+    The slot of an identifier is the first bits of its first lane, behind those that name its shard (``taken``), which
+    all identifiers of a table share; collisions go on to the next slot. Complete remainders are compared, so a hit is
+    never false.
     """
 
-    def __init__(self, rows: int) -> None:
+    def __init__(self, rows: int, taken: int = 0) -> None:
+        self.taken = np.uint64(taken)
         self.bits = max(6, int(rows * 2 - 1).bit_length())
         size = 1 << self.bits
         self.lanes = np.zeros((3, size), np.int64)
@@ -85,7 +87,7 @@ class QuotientTable:
         self.count = np.zeros(size, np.int64)
 
     def insert(self, lanes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        slot = (lanes[0].view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = (lanes[0].view(np.uint64) << self.taken >> np.uint64(64 - self.bits)).astype(np.int64)
         todo = np.arange(len(ids))
         while len(todo):
             at = slot[todo]
@@ -136,15 +138,19 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shard(bits: int):
     """Entries (lanes, kept, n) of one shard, each identifier inserted once; only those with further copies go on."""
-    held = [b for b in batches if b.num_rows]
-    if held:
-        table = QuotientTable(sum(b.num_rows for b in held))
-        for b in held:
-            *lanes, kept, n = _columns(b, *LANES, "kept", "n")
-            table.insert(np.stack(lanes), kept, n)
-        yield table.batch(more_than=1, plain=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = QuotientTable(sum(b.num_rows for b in held), bits)
+            for b in held:
+                *lanes, kept, n = _columns(b, *LANES, "kept", "n")
+                table.insert(np.stack(lanes), kept, n)
+            yield table.batch(more_than=1, plain=True)
+
+    return run
 
 
 ENTRY = "q0 bigint, q1 bigint, q2 bigint, kept bigint, n bigint"
@@ -155,7 +161,7 @@ def repeated(ids: DataFrame, rows: int) -> DataFrame:
     local = ids.select(*LANES, "id").mapInArrow(_fold, ENTRY)
     bits = max(0, rows // SHARD_ROWS).bit_length()
     quotient = F.shiftrightunsigned("q0", 64 - bits) if bits else F.lit(0)
-    return local.repartitionById(1 << bits, quotient.cast("int")).mapInArrow(_shard, ENTRY)
+    return local.repartitionById(1 << bits, quotient.cast("int")).mapInArrow(_shard(bits), ENTRY)
 
 
 def _pairs(rows: DataFrame, found: DataFrame, on: list[str], total: int) -> list[DataFrame]:

@@ -34,6 +34,17 @@ def test_table_keeps_each_identifier_once():
     assert got == {k: (min(v), len(v)) for k, v in want.items()}
 
 
+def test_table_of_a_shard_fills_evenly():
+    # All of a shard share their first bits; in place of a crowded part of the table the bits behind those count.
+    rng = np.random.default_rng(2)
+    lanes = rng.integers(-(2**63), 2**63 - 1, (3, 20_000))
+    lanes[0] = lanes[0].view(np.uint64) >> np.uint64(6)
+    table = dedup.QuotientTable(20_000, 6)
+    table.insert(lanes, np.arange(20_000), np.ones(20_000, np.int64))
+    used = np.flatnonzero(table.count)
+    assert len(used) == 20_000 and np.histogram(used, 8, (0, len(table.count)))[0].min() > 1500
+
+
 def _copies(spark, rows, monkeypatch=None):
     df = spark.createDataFrame(rows, "id long, print string, t long, status string, kept string")
     fits = F.col("print").rlike("^[0-9a-f]{16}$")
