@@ -61,17 +61,23 @@ def json_part(text: Column, kind: str = "object") -> Column:
     return F.try_parse_json(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")))
 
 
+def closed(synonyms: dict[str, list[str]]) -> dict[str, set[str]]:
+    """Every term with all terms that share an entry with it."""
+    out: dict[str, set[str]] = {}
+    for term, others in synonyms.items():
+        group = {term.lower(), *(o.lower() for o in others)}
+        for t in group:
+            out.setdefault(t, set()).update(group - {t})
+    return out
+
+
 def expansions(text: Column, synonyms: dict[str, list[str]]) -> Column:
     """The sorted synonyms of the terms in a text that it doesn't hold itself, in both directions.
 
     Terms of ASCII letters count as whole words, others anywhere. synonyms is closed first: terms that share an entry are
     synonyms of each other.
     """
-    closed: dict[str, set[str]] = {}
-    for term, others in synonyms.items():
-        group = {term.lower(), *(o.lower() for o in others)}
-        for t in group:
-            closed.setdefault(t, set()).update(group - {t})
+    every = closed(synonyms)
     low = F.lower(text)
 
     def holds(term: str) -> Column:
@@ -80,5 +86,5 @@ def expansions(text: Column, synonyms: dict[str, list[str]]) -> Column:
             return low.rlike(rf"(?:^|[^a-z0-9_]){literal}(?:$|[^a-z0-9_])")
         return F.contains(low, F.lit(term))
 
-    parts = [F.when(holds(t) & ~holds(s), F.lit(s)) for t in sorted(closed) for s in sorted(closed[t])]
+    parts = [F.when(holds(t) & ~holds(s), F.lit(s)) for t in sorted(every) for s in sorted(every[t])]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*parts)))) if parts else F.array().cast("array<string>")

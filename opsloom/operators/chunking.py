@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", " ", ""]
 HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
+NUMBERED = re.compile(r"^(?:#{1,6}|\d+[.)])[^\S\n]+(.+)$", re.M)
+# What lines of Markdown have, and how much it counts.
+MARKS = [(2, re.compile(r"^#{1,6}\s+")), (2, re.compile(r"^```")), (1, re.compile(r"\[.*?\]\(.*?\)")), (1, re.compile(r"^[-*+]\s+")), (1, re.compile("^>"))]
 
 
 def chunked(df: DataFrame, key: str, text: str, cut: Callable[[str], list[tuple[str, str]]]) -> DataFrame:
@@ -31,20 +35,57 @@ def chunked(df: DataFrame, key: str, text: str, cut: Callable[[str], list[tuple[
 
 
 def fixed(text: str, size: int = 500, overlap: int = 50, separator: str = "\n\n") -> list[tuple[str, str]]:
-    """Paragraphs packed up to ``size``; the next chunk begins with the tail of the last. Long paragraphs are sliced."""
-    out, held = [], ""
-    for p in filter(None, (p.strip() for p in text.split(separator))):
-        if len(p) > size:
-            if held:
-                out.append(held)
-            held = ""
-            out += [p[k : k + size] for k in range(0, len(p), max(1, size - overlap))]
-        elif held and len(held) + len(p) + 1 > size:
-            out.append(held)
-            held = held[-overlap:] + separator + p if 0 < overlap < len(held) else p
+    """Paragraphs packed up to ``size``; the next chunk begins with the tail of the last. Long paragraphs are sliced.
+
+    Every chunk is a slice of the paragraphs joined: a run of neighbours, reaching back by the overlap into the run
+    before unless a sliced paragraph lies between.
+    """
+    parts = [p.strip() for p in text.split(separator) if p.strip()]
+    joined = separator.join(parts)
+    ends = list(accumulate(parts, lambda end, p: end + len(separator) + len(p), initial=-len(separator)))[1:]
+    spans: list[tuple[int, int]] = []
+    grows = False
+    for end, length in zip(ends, map(len, parts)):
+        begin = end - length
+        if length > size:
+            spans += [(k, min(k + size, end)) for k in range(begin, end, max(1, size - overlap))]
+            grows = False
+            continue
+        if grows and spans[-1][1] - spans[-1][0] + length + 1 <= size:
+            spans[-1] = spans[-1][0], end
+            continue
+        last = spans[-1] if grows else (0, 0)
+        spans.append((last[1] - overlap if 0 < overlap < last[1] - last[0] else begin, end))
+        grows = True
+    return [("", joined[a:b]) for a, b in spans]
+
+
+def smart(text: str, size: int = 500, overlap: int = 50, least: int = 100) -> list[tuple[str, str]]:
+    """Paragraphs packed within each part below a Markdown or numbered heading, small chunks joined with a neighbour,
+    and each begun with the tail of the one before and dots."""
+    heads = [(m.start(), m[1].strip()) for m in NUMBERED.finditer(text)]
+    begins = [0, *(at for at, _ in heads)]
+    named = zip(["", *(h for _, h in heads)], begins, [*begins[1:], len(text)])
+    packed: list[tuple[str, str]] = []
+    for head, a, b in named:
+        for p in filter(None, (p.strip() for p in text[a:b].split("\n\n"))):
+            room = bool(packed) and packed[-1][0] == (head, a) and len(p) <= size and len(packed[-1][1]) + len(p) + 2 <= size
+            if room:
+                packed[-1] = packed[-1][0], f"{packed[-1][1]}\n\n{p}"
+            else:
+                packed += [((head, a) if len(p) <= size else (head, a, k), p[k : k + size]) for k in range(0, len(p), size)]
+    joined: list[tuple[str, str]] = []
+    for (head, *_), chunk in packed:
+        if joined and min(len(joined[-1][1]), len(chunk)) < least and len(joined[-1][1]) + 2 + len(chunk) <= size:
+            # The heading is that of the larger part.
+            kept = joined[-1][0] if len(joined[-1][1]) >= least else head
+            joined[-1] = kept, f"{joined[-1][1]}\n\n{chunk}"
         else:
-            held = held + separator + p if held else p
-    return [("", c) for c in [*out, *([held] if held else [])]]
+            joined.append((head, chunk))
+    out: list[tuple[str, str]] = []
+    for head, chunk in joined:
+        out.append((head, f"{out[-1][1][-overlap:]}...{chunk}" if out and overlap > 0 else chunk))
+    return out
 
 
 def recursive(text: str, size: int = 500, overlap: int = 50, separators: list[str] | None = None) -> list[str]:
@@ -95,10 +136,10 @@ def by_headings(text: str, size: int = 500, overlap: int = 50, depth: int = 4) -
 
 
 def auto(text: str) -> list[tuple[str, str]]:
-    """By headings where the text has any, else by separators."""
-    if any(HEADING.match(x) for x in text.splitlines()[:50]):
-        return by_headings(text)
-    return [("", c) for c in recursive(text)]
+    """By headings where the first lines look like Markdown, else by separators. The score is ``text.markdown_score``."""
+    lines = [x.strip() for x in text.split("\n")[:50]]
+    score = sum(n for x in lines for n, found in MARKS if found.search(x))
+    return by_headings(text) if score >= 3 else [("", c) for c in recursive(text)]
 
 
 BLOCK = re.compile(r"```[\s\S]*?(?:```|$)|(?:^\|.*\|[ \t]*$\n?)+", re.M)

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DIGITS = 9
+from opsloom.operators import scoring
+
+DIGITS = scoring.DIGITS
 
 
 def ranked(hits: DataFrame, by: list[str], score: str = "score", tie: str = "doc_id", name: str = "rank") -> DataFrame:
@@ -33,26 +35,33 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, extra: Column | None = None, block: int = 1024) -> DataFrame:
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two arrays; 0 where one has no length, is null, or their dimensions differ."""
+    both = norm(a) * norm(b)
+    return F.when((F.size(a) == F.size(b)) & (both > 0), dot(a, b) / both).otherwise(0.0)
+
+
+def unit(v: Column) -> Column:
+    """A vector at length 1; one without length as it is."""
+    return F.when(norm(v) > 0, F.transform(v, lambda x: x.cast("double") / norm(v))).otherwise(v.cast("array<double>"))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = scoring.BLOCK) -> DataFrame:
     """The k vectors nearest to each query by cosine, scored (cos + 1) / 2; a vector without length scores 0.5.
 
-    queries: (query_id, q). vectors: (doc_id, v). The stated query set is compared with all rows, in blocks of queries:
-    each block is packed into one row and held by every task, so a scan of the vectors scores a whole block per vector
-    and keeps only the best of each partition.
+    queries: (query_id, q). vectors: (doc_id, v), filtered before if they are to be. least: the least score of a hit.
     """
-    packed = (
-        queries.withColumn("qn", norm(F.col("q")))
-        .withColumn("block", (F.row_number().over(W.orderBy("query_id")) / block).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
-    )
-    vectors = vectors.withColumn("vn", norm(F.col("v")))
-    pairs = vectors.join(F.broadcast(packed), F.lit(True)).select("doc_id", "v", "vn", F.explode("qs").alias("x"))
-    cosine = F.when(F.col("x.qn") * F.col("vn") == 0, 0.0).otherwise(dot(F.col("x.q"), F.col("v")) / (F.col("x.qn") * F.col("vn")))
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), "doc_id", F.round((cosine + 1) / 2, DIGITS).alias("score"))
-    if extra is not None:
-        scored = scored.filter(extra)
-    return top(scored, k, ["query_id"])
+    hits = top(scoring.dense(queries, vectors, k, block), k, ["query_id"])
+    return hits if least is None else hits.filter(F.col("score") >= least)
+
+
+def sparse_top(asked: DataFrame, index: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """The k rows of each query by the product of term weights; see ``scoring.sparse``."""
+    return top(scoring.sparse(asked, index, k, by), k, by)
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -73,39 +82,46 @@ def idf(frequency: DataFrame, documents: int, most: int | None = None) -> DataFr
     return found if most is None else found.orderBy(F.desc("df"), "term").limit(most)
 
 
-def weights(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """(key, term, w): tf-idf weights of unit length for each document, in partitions by document.
+def weights(counts: DataFrame, terms: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, term, w): tf-idf weights of unit length, for a bounded set of queries."""
+    raw = counts.join(terms.select("term", "idf"), "term").select(*key, "term", (F.col("n") / F.col("size") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*key)))
+    return raw.withColumn("w", F.col("w") / length)
 
-    The lengths are taken where the weights lie, so after the weights have gone to their document nothing moves again.
-    """
-    raw = counts.join(terms.select("term", "idf"), "term").select(key, "term", (F.col("n") / F.col("size") * F.col("idf")).alias("w"))
-    # A stated number of partitions isn't merged by size: little data per partition still means much work behind it.
-    placed = raw.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return placed.withColumn("w", F.col("w") / length)
 
+def counted(tokens: Column) -> Column:
+    """The distinct tokens of a short text with how often each occurs, without moving any row.
 
-#: Rows of query weights up to which they are sent to every task; beyond, both sides are shuffled by term.
-BROADCAST_WEIGHTS = 500_000
+    tokens: a column of sorted tokens, so that equal ones are neighbours.
+    """
+    n = F.size(tokens)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
+    ends = F.concat(F.slice(starts, 2, n), F.array(n))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(tokens, a).alias("term"), (b - a).alias("n")))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term:string,n:int>>"))
 
 
-def sparse_scores(query_weights: DataFrame, doc_weights: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): sums of products over shared terms, by an equi-join on the term.
+def weighted_rows(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, terms array<struct<term, w>>): tf-idf weights of unit length of each row (key, size, counts).
 
-    A bounded set of queries is sent to the postings, which stay in their partitions by document: the sums are then
-    complete where they arise, and only the best of each partition are moved to be ranked.
+    Terms meet their idf by an equi-join, in which AQE splits terms that are in every row; then each row is put
+    together again by its key, with its length, in one aggregation.
     """
-    q = query_weights.withColumnRenamed("w", "qw")
-    small = q.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
-    joined = (F.broadcast(q) if small else q).join(doc_weights.withColumnRenamed("w", "dw"), "term")
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), DIGITS).alias("score"))
+    each = rows.select(key, "size", F.inline("counts"))
+    raw = each.join(terms.select("term", "idf"), "term").select(key, "term", (F.col("n") / F.col("size") * F.col("idf")).alias("w"))
+    whole = raw.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    one = lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("length")).alias("w"))
+    return whole.select(key, F.transform("t", one).alias("terms"))
 
 
 def fused(routes: list[DataFrame], how: str = "rrf", weights_: list[float] | None = None, k: int = 60) -> DataFrame:
     """(query_id, doc_id, score) of several routes of hits with (query_id, doc_id, score, rank).
 
-    rrf: sum of weight / (k + rank + 1). weighted: sum of weight * score. combmnz: sum of scores times their number.
+    rrf: sum of weight / (k + rank + 1). weighted: sum of weight * score. convex: the same for two routes whose weights
+    sum to 1. combmnz: sum of scores times their number. Anything else is rrf.
     """
+    if how == "convex" and (len(routes) != 2 or abs(sum(weights_ or [0.5, 0.5]) - 1) > 1e-9):
+        raise ValueError("a convex combination takes two routes with weights that sum to 1")
     given = weights_ or [1.0] * len(routes)
     all_ = None
     for route, weight in zip(routes, given):
@@ -116,21 +132,20 @@ def fused(routes: list[DataFrame], how: str = "rrf", weights_: list[float] | Non
 
 def fused_hits(hits: DataFrame, how: str = "rrf", k: int = 60) -> DataFrame:
     """(query_id, doc_id, score) of hits of all routes in one table, each with the ``weight`` of its route."""
-    value = {
-        "rrf": F.sum(F.col("weight") / (F.lit(k) + F.col("rank") + 1)),
-        "weighted": F.sum(F.col("weight") * F.col("score")),
-        "combmnz": F.sum("score") * F.count("*"),
-    }[how]
+    rrf = F.sum(F.col("weight") / (F.lit(k) + F.col("rank") + 1))
+    weighted = F.sum(F.col("weight") * F.col("score"))
+    known = {"rrf": rrf, "weighted": weighted, "convex": weighted, "combmnz": F.sum("score") * F.count("*")}
+    value = known.get(how, rrf)
     return hits.groupBy("query_id", "doc_id").agg(F.round(value, DIGITS).alias("score"))
 
 
-def parent_votes(hits: DataFrame, parents: DataFrame, boost: float = 0.1) -> DataFrame:
+def parent_votes(hits: DataFrame, parents: DataFrame | None = None, boost: float = 0.1) -> DataFrame:
     """(query_id, parent_id, score, hits): the best child's score and ``boost`` for each further child.
 
-    parents: (doc_id, parent_id). Hits without a parent are dropped.
+    parents: (doc_id, parent_id), unless hits have their parent_id. Hits without a parent are dropped.
     """
-    found = hits.join(parents.filter(F.col("parent_id").isNotNull()), "doc_id").groupBy("query_id", "parent_id")
-    grouped = found.agg(F.max("score").alias("best"), F.count("*").alias("hits"))
+    found = hits if parents is None else hits.join(parents, "doc_id")
+    grouped = found.filter(F.col("parent_id").isNotNull()).groupBy("query_id", "parent_id").agg(F.max("score").alias("best"), F.count("*").alias("hits"))
     return grouped.select("query_id", "parent_id", F.round(F.col("best") + boost * (F.col("hits") - 1), DIGITS).alias("score"), "hits")
 
 
@@ -154,6 +169,22 @@ def dynamic_cut(hits: DataFrame, k: int, gap: float = 0.15) -> DataFrame:
     return hits.withColumn("clear", clear).filter(~F.col("clear") | (F.col("rank") < 2 * k))
 
 
+def heading_filter(parents: DataFrame, terms: Column, content: Column, heading: Column, boost: float = 0.05) -> DataFrame:
+    """parents (query_id, …, score) that hold one of the query's terms in content or heading, with ``boost`` for the
+    heading. Queries of which nothing would be left keep all their parents as they were."""
+    held = lambda text: F.exists(terms, lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t))
+    marked = parents.withColumn("__heading", F.coalesce(held(heading), F.lit(False)))
+    marked = marked.withColumn("__kept", F.col("__heading") | F.coalesce(held(content), F.lit(False)))
+    some = F.max("__kept").over(W.partitionBy("query_id"))
+    raised = F.round(F.when(F.col("__heading"), F.col("score") + boost).otherwise(F.col("score")), DIGITS)
+    return marked.withColumn("__some", some).filter("__kept OR NOT __some").withColumn("score", raised).drop("__heading", "__kept", "__some")
+
+
+def passes_gate(hits: DataFrame, least: float = 0.35, fewest: int = 2) -> DataFrame:
+    """(query_id, passes): whether a query has enough hits of which the best is good enough."""
+    return hits.groupBy("query_id").agg(((F.count("*") >= fewest) & (F.max("score") >= least)).alias("passes"))
+
+
 def simple_rerank_score(score: Column, content: Column, source_weight: Column) -> Column:
     """0.6 of the score, 0.2 of a weight for the length of the content, 0.2 of one for its source."""
     n = F.length(content)

@@ -1,19 +1,29 @@
-"""Queries of the retrieval, fusion and evaluation operators, with the SQL each is compared with."""
+"""Queries of the retrieval, fusion and evaluation operators, with the SQL each is compared with.
+
+What is searched are windows of documents, so that a long document is found by its parts; they roll up to their document
+as parent. The windows with their term weights and vectors are written once for each state of the documents and shared
+by all queries of a session.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsloom.functions import text
-from opsloom.operators import evaluation, retrieval
+from opsloom.functions import parsing, rewriting, text
+from opsloom.operators import changes, conversations, evaluation, retrieval
 from opsloom.session import stage_table
-from opsloom.sources.tables import spread, table
+from opsloom.sources.tables import spread, state_of, table
 
 NOW = "2026-08-31T00:00:00"
 TOKEN = "[a-zA-Z0-9_一-龥]+"
 # A document takes part if it holds a letter or a digit.
 WORDY = r"[\p{L}\p{N}]"
+#: Windows of one document at most; a window's id is its document's times this and its number.
+WINDOWS = 1 << 20
+#: Hits of each route, hits of each variant of a query, and parents that are shown.
+CHILDREN, PER_VARIANT, PARENTS = 15, 45, 5
 
 
 def _tokens(c: str):
@@ -28,25 +38,56 @@ def _queries(spark, d):
     return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query", "expected_keywords")
 
 
-def _hits(spark, d, k: int = 20) -> DataFrame:
-    """(route, query_id, doc_id, score, rank): the k best of each question by its own words (1) and by the keywords
-    expected of an answer (2). The postings are written once and serve frequencies, lengths and both routes."""
-    docs = _corpus(spark, d)
-    postings = stage_table(retrieval.term_counts(docs, "doc_id", _tokens("text")), "postings")
-    terms = retrieval.idf(postings.groupBy("term").agg(F.count("*").alias("df")), docs.count())
-    q = _queries(spark, d)
-    by_words = q.select(F.struct(F.lit(1).alias("route"), "query_id").alias("query_id"), _tokens("query").alias("tokens"))
-    words = text.eval_tokens(F.lower(F.array_join("expected_keywords", " ")))
-    by_keywords = q.select(F.struct(F.lit(2).alias("route"), "query_id").alias("query_id"), words.alias("tokens"))
-    asked = retrieval.term_counts(by_words.unionByName(by_keywords), "query_id", F.col("tokens"))
-    asked = stage_table(retrieval.weights(asked, terms, "query_id"), "asked")
-    scores = retrieval.sparse_scores(asked, retrieval.weights(postings, terms, "doc_id"))
-    best = retrieval.top(scores, k, ["query_id"])
-    return best.select("query_id.*", "doc_id", "score", "rank")
+_built: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(windows, terms): windows (doc_id, parent_id, terms, v) with the number of the window as doc_id; terms (term, df, idf)."""
+    key = (spark.sparkContext.applicationId, *state_of(spark, d, "documents"))
+    if key not in _built:
+        cut = F.posexplode(text.sliding_chunks(F.col("text"), most=None)).alias("no", "chunk")
+        windows = _corpus(spark, d).select("doc_id", cut).select((F.col("doc_id") * WINDOWS + F.col("no")).alias("doc_id"), "chunk")
+        counts = windows.select("doc_id", "chunk", F.sort_array(_tokens("chunk")).alias("tokens")).filter("size(tokens) > 0")
+        counts = counts.select("doc_id", F.size("tokens").alias("size"), retrieval.counted(F.col("tokens")).alias("counts"), rewriting.EMBEDDERS["hashing"](F.col("chunk")).alias("v"))
+        counts = stage_table(counts, "windows")
+        frequency = counts.select(F.explode(F.transform("counts", lambda c: c["term"])).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        terms = stage_table(retrieval.idf(frequency, counts.count()), "terms")
+        weighted = retrieval.weighted_rows(counts.drop("v"), terms, "doc_id").join(counts.select("doc_id", "v"), "doc_id")
+        _built[key] = stage_table(weighted.withColumn("parent_id", F.floor(F.col("doc_id") / WINDOWS).cast("bigint")), "index"), terms
+    return _built[key]
+
+
+def _variants(spark, d) -> DataFrame:
+    """(query_id, variant, query): each question as it is and rewritten."""
+    return _queries(spark, d).select("query_id", F.posexplode(rewriting.enhanced(F.col("query"))).alias("variant", "query"))
+
+
+def _asked(spark, d, terms: DataFrame) -> DataFrame:
+    variants = _variants(spark, d).select("query_id", "variant", F.sort_array(_tokens("query")).alias("tokens"))
+    counts = variants.select("query_id", "variant", F.size("tokens").alias("size"), F.inline(retrieval.counted(F.col("tokens"))))
+    return retrieval.weights(counts, terms, ["query_id", "variant"])
+
+
+def _sparse(spark, d, k: int = CHILDREN) -> DataFrame:
+    """The k windows of each question by term weights: of each variant the best, of these each at its best score."""
+    windows, terms = index(spark, d)
+    each = retrieval.sparse_top(_asked(spark, d, terms), windows, PER_VARIANT, ["query_id", "variant"])
+    return retrieval.top(each.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k, ["query_id"])
+
+
+def _dense(spark, d, k: int = CHILDREN) -> DataFrame:
+    vectors = _queries(spark, d).select("query_id", rewriting.EMBEDDERS["hashing"](F.col("query")).alias("q"))
+    return retrieval.dense_top(vectors, index(spark, d)[0].select("doc_id", "v"), k)
+
+
+def _hits(spark, d) -> DataFrame:
+    """(route, query_id, doc_id, score, rank): the best windows of each question by term weights (1) and by vectors (2)."""
+    columns = ["query_id", "doc_id", "score", "rank"]
+    return _sparse(spark, d).select(F.lit(1).alias("route"), *columns).unionByName(_dense(spark, d).select(F.lit(2).alias("route"), *columns))
 
 
 def _route(spark, d, number: int = 1) -> DataFrame:
-    return _hits(spark, d).filter(F.col("route") == number).drop("route")
+    return _sparse(spark, d) if number == 1 else _dense(spark, d)
 
 
 def _fused(hits: DataFrame, how: str = "rrf", second: float = 1.0, first: float = 1.0, k: int = 60) -> DataFrame:
@@ -54,21 +95,53 @@ def _fused(hits: DataFrame, how: str = "rrf", second: float = 1.0, first: float
     return retrieval.fused_hits(hits.withColumn("weight", weight), how, k)
 
 
-ROUTES = f"""
-    corpus AS (SELECT doc_id, text, source FROM documents WHERE regexp_matches(text, '{WORDY}')),
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _holds(t: str, low: str = "low") -> str:
+    return f"regexp_matches({low}, '(^|[^a-z0-9_]){t}($|[^a-z0-9_])')" if t.isascii() else f"contains({low}, '{t}')"
+
+
+_CLOSED = parsing.closed(rewriting.SYNONYMS)
+_EXPANDED = "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {_holds(t)} AND NOT {_holds(s)} THEN '{s}' END" for t in sorted(_CLOSED) for s in sorted(_CLOSED[t])) + "], lambda x: x IS NOT NULL)))"
+_TABLE = "MAP {" + ", ".join(f"'{t}': {_list(sorted(s))}" for t, s in sorted(_CLOSED.items())) + "}"
+_CUTS = ", ".join(f"CASE WHEN ends_with(query, '{s}') AND length(query) > {len(s)} THEN trim(query[:length(query) - {len(s)}], ' ') END" for s in rewriting.SUFFIXES)
+# The first of each variant, in order.
+VARIANTS = rf"""
+    q0 AS (SELECT item_id AS query_id, query, lower(trim(query, ' ')) AS low, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+') AS t FROM eval_items),
+    q1 AS (SELECT *, {_EXPANDED} AS more, list_filter(t, lambda x: NOT list_contains({_list(rewriting.STOP_WORDS)}, x)) AS w FROM q0),
+    qz AS (SELECT *, flatten(list_transform(w, lambda y: [y] || coalesce({_TABLE}[y], []))) AS z FROM q1),
+    q2 AS (SELECT query_id, query, unnest([trim(query, ' '), {_CUTS}, CASE WHEN len(t) >= 2 AND len(w) > 0 AND len(w) < len(t) THEN array_to_string(w, ' ') END,
+      CASE WHEN len(more) > 0 THEN low || ' ' || array_to_string(more, ' ') END, array_to_string(list_filter(z, lambda x, i: list_position(z, x) = i), ' ')]) AS v,
+      unnest(range({len(rewriting.SUFFIXES) + 4})) AS pos FROM qz),
+    q3 AS (SELECT query_id, v AS query, min(pos) AS pos FROM q2 WHERE v IS NOT NULL AND v <> '' GROUP BY 1, 2),
+    variants AS (SELECT query_id, query, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS variant FROM q3)"""
+ROUTES = rf"""{VARIANTS},
+    cut AS (SELECT doc_id AS parent_id, text, unnest(range(0, CASE WHEN length(text) <= 400 THEN 1 ELSE (length(text) - 400 + 299) // 300 + 1 END)) AS no FROM documents WHERE regexp_matches(text, '{WORDY}')),
+    corpus AS (SELECT parent_id * {WINDOWS} + no AS doc_id, parent_id, substr(text, (no * 300 + 1)::BIGINT, 400) AS text FROM cut),
     dt AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM corpus),
     dc AS (SELECT doc_id, t AS term, len(any_value(l)) AS size, count(*) AS n FROM (SELECT doc_id, l, unnest(l) AS t FROM dt) GROUP BY 1, 2),
-    idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM corpus) + 1) / (count(*) + 1)) + 1 AS idf FROM dc GROUP BY 1),
+    idf AS (SELECT term, count(*) AS df, ln(((SELECT count(DISTINCT doc_id) FROM dc) + 1) / (count(*) + 1)) + 1 AS idf FROM dc GROUP BY 1),
     dw0 AS (SELECT doc_id, term, n::DOUBLE / size * idf AS w FROM dc JOIN idf USING (term)),
     dw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw0),
-    qt AS (SELECT 1 AS route, item_id AS query_id, regexp_extract_all(lower(query), '{TOKEN}') AS l FROM eval_items
-      UNION ALL SELECT 2, item_id, regexp_extract_all(lower(array_to_string(expected_keywords, ' ')), '{TOKEN}') FROM eval_items),
-    qc AS (SELECT route, query_id, t AS term, len(any_value(l)) AS size, count(*) AS n FROM (SELECT route, query_id, l, unnest(l) AS t FROM qt) GROUP BY 1, 2, 3),
-    qw0 AS (SELECT route, query_id, term, n::DOUBLE / size * idf AS w FROM qc JOIN idf USING (term)),
-    qw AS (SELECT route, query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY route, query_id)) AS w FROM qw0),
-    hits AS (SELECT route, query_id, doc_id, round(sum(qw.w * dw.w), 9) AS score FROM qw JOIN dw USING (term) GROUP BY 1, 2, 3),
-    routes AS (SELECT *, row_number() OVER (PARTITION BY route, query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM hits
-      QUALIFY rank < 20)"""
+    qc AS (SELECT query_id, variant, t AS term, len(any_value(l)) AS size, count(*) AS n FROM (SELECT query_id, variant, l, unnest(l) AS t FROM
+      (SELECT query_id, variant, regexp_extract_all(lower(query), '{TOKEN}') AS l FROM variants)) GROUP BY 1, 2, 3),
+    qw0 AS (SELECT query_id, variant, term, n::DOUBLE / size * idf AS w FROM qc JOIN idf USING (term)),
+    qw AS (SELECT query_id, variant, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id, variant)) AS w FROM qw0),
+    each AS (SELECT query_id, variant, doc_id, round(sum(qw.w * dw.w), 9) AS score FROM qw JOIN dw USING (term) GROUP BY 1, 2, 3
+      QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, doc_id) <= {PER_VARIANT}),
+    bucket AS (SELECT term, h % {rewriting.DIMENSIONS} AS b, 1 - 2 * (h // {rewriting.DIMENSIONS} % 2)::INT AS sign FROM
+      (SELECT term, ('0x' || substr(md5(term), 1, 8))::UBIGINT AS h FROM (SELECT term FROM dc UNION SELECT term FROM q_terms))),
+    dv AS (SELECT doc_id, b, sum(n * sign)::DOUBLE AS x FROM dc JOIN bucket USING (term) GROUP BY 1, 2),
+    qv AS (SELECT query_id, b, sum(n * sign)::DOUBLE AS x FROM q_terms JOIN bucket USING (term) GROUP BY 1, 2),
+    dn AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM dv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(x * x)) AS len FROM qv GROUP BY 1),
+    dots AS (SELECT query_id, doc_id, sum(qv.x * dv.x) AS d FROM qv JOIN dv USING (b) GROUP BY 1, 2),
+    near AS (SELECT query_id, doc_id, round((CASE WHEN qn.len * dn.len > 0 THEN d / (qn.len * dn.len) ELSE 0 END + 1) / 2, 9) AS score FROM dots JOIN dn USING (doc_id) JOIN qn USING (query_id)),
+    hits AS (SELECT 1 AS route, query_id, doc_id, max(score) AS score FROM each GROUP BY ALL UNION ALL SELECT 2, query_id, doc_id, score FROM near),
+    routes AS (SELECT *, row_number() OVER (PARTITION BY route, query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM hits QUALIFY rank < {CHILDREN})"""
+ROUTES = f"""
+    q_terms AS (SELECT query_id, term, count(*) AS n FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(query), '{TOKEN}')) AS term FROM eval_items) GROUP BY 1, 2), {ROUTES}"""
 RRF = """rrf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM routes GROUP BY 1, 2)"""
 
 
@@ -76,10 +149,18 @@ def _shown(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, "score")
 
 
+def query_variants(spark, d):
+    return _variants(spark, d)
+
+
 def sparse_top(spark, d):
     return _shown(_route(spark, d).filter("rank < 5"), "query_id", "doc_id", "rank")
 
 
+def dense_text_top(spark, d):
+    return _shown(_route(spark, d, 2).filter("rank < 5"), "query_id", "doc_id", "rank")
+
+
 def fusion_rrf(spark, d):
     fused = _fused(_hits(spark, d))
     return _shown(retrieval.top(fused, 5, ["query_id"]), "query_id", "doc_id", "rank")
@@ -87,7 +168,8 @@ def fusion_rrf(spark, d):
 
 def _fusion(how: str, weights: list[float]):
     def query(spark, d):
-        fused = _fused(_hits(spark, d), how, weights[1], weights[0])
+        routes = [_route(spark, d, n) for n in (1, 2)]
+        fused = retrieval.fused(routes, how, weights)
         return _shown(retrieval.top(fused, 5, ["query_id"]), "query_id", "doc_id", "rank")
 
     return query
@@ -98,30 +180,66 @@ def _fusion_sql(value: str) -> str:
     SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, score FROM f QUALIFY rank < 5"""
 
 
-def hybrid_parent_child(spark, d):
-    """The flagship: two routes, fused, rolled up to the source as parent with votes, aged, cut.
+def _filtered_parents(spark, d) -> DataFrame:
+    """(query_id, parent_id, score, hits, query, valid_until): parents by votes, filtered and raised by their heading."""
+    votes = retrieval.parent_votes(_fused(_hits(spark, d)).withColumn("parent_id", F.floor(F.col("doc_id") / WINDOWS).cast("bigint")))
+    q = _queries(spark, d).select("query_id", "query")
+    terms = F.array_distinct(F.concat(text.word_tokens(F.col("query")), parsing.expansions(F.col("query"), rewriting.SYNONYMS)))
+    parents = table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), "text", "title", "valid_until")
+    # Few votes meet their documents, rather than the documents moving.
+    found = votes.join(q.withColumn("terms", terms), "query_id").join(parents, "parent_id")
+    kept = retrieval.heading_filter(found, F.col("terms"), F.col("text"), F.col("title"))
+    return kept.select("query_id", "parent_id", "score", "hits", "query", "valid_until")
 
-    Both routes are sparse: the first asks with the question's words, the second with the expected keywords, which are
-    the answer key, so its quality says nothing of unseen questions. Of RT-6 the dense route, the max-merge of variants,
-    the heading filter with its fallback and the rerank aren't offered.
-    A hit whose document is out of date counts half; a parent is as good as its best hit and 0.1 for each further one.
-    """
-    docs = _corpus(spark, d).select("doc_id", F.col("source").alias("parent_id"), "valid_until")
-    fused = _fused(_hits(spark, d))
-    now = F.lit(NOW).cast("timestamp")
-    aged = fused.join(docs.select("doc_id", "valid_until"), "doc_id").select(
-        "query_id", "doc_id", retrieval.decayed(F.col("score"), F.col("valid_until"), now).alias("score")
-    )
-    votes = retrieval.parent_votes(aged, docs.select("doc_id", "parent_id"))
-    return _shown(retrieval.top(votes, 3, ["query_id"], tie="parent_id"), "query_id", "parent_id", "hits", "rank")
 
+def heading_filter(spark, d):
+    return _shown(retrieval.top(_filtered_parents(spark, d), PARENTS, ["query_id"], tie="parent_id"), "query_id", "parent_id", "hits", "rank")
 
-HYBRID = f"""WITH {ROUTES}, {RRF},
-    aged AS (SELECT query_id, source AS parent_id,
-      CASE WHEN coalesce(try_cast(regexp_replace(replace(valid_until, '/', '-'), '[Zz]$', '') AS TIMESTAMP) < TIMESTAMP '2026-08-31', false) THEN score * 0.5 ELSE score END AS score
-      FROM rrf JOIN documents USING (doc_id) WHERE source IS NOT NULL),
-    v AS (SELECT query_id, parent_id, count(*) AS hits, round(max(score) + 0.1::DOUBLE * (count(*) - 1), 9) AS score FROM aged GROUP BY 1, 2)
-    SELECT query_id, parent_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, score FROM v QUALIFY rank < 3"""
+
+def _reranked(spark, d, k: int = PARENTS) -> DataFrame:
+    """(query_id, parent_id, score, hits, valid_until): the candidates of each question by their best window."""
+    ranked = retrieval.ranked(_filtered_parents(spark, d), ["query_id"], tie="parent_id")
+    cut = retrieval.dynamic_cut(ranked.withColumnRenamed("parent_id", "doc_id").drop("rank"), k).withColumnRenamed("doc_id", "parent_id")
+    candidates = cut.filter(F.col("rank") < max(3 * k, 18)).select("query_id", "parent_id", "hits", "query", "valid_until")
+    windows = index(spark, d)[0].select("parent_id", F.transform("terms", lambda t: t["term"]).alias("held"))
+    overlap = retrieval.lexical_overlap(_tokens("query"), F.col("held"))
+    best = windows.join(candidates, "parent_id").groupBy("query_id", "parent_id", "hits", "valid_until").agg(F.max(overlap).alias("best"))
+    return best.withColumn("score", F.round(retrieval.sigmoid(F.col("best")), 9)).drop("best")
+
+
+def hybrid_parent_child(spark, d):
+    """The flagship: windows by vectors of the question and by term weights of all its variants, fused by reciprocal
+    ranks, rolled up to their document with votes, filtered by heading, reranked by their best window where the scores
+    don't stand clear, halved if out of date, and cut."""
+    now = F.lit(NOW).cast("timestamp")
+    aged = _reranked(spark, d).withColumn("score", retrieval.decayed(F.col("score"), F.col("valid_until"), now))
+    return _shown(retrieval.top(aged, PARENTS, ["query_id"], tie="parent_id"), "query_id", "parent_id", "hits", "rank")
+
+
+def hybrid_flat(spark, d):
+    """Windows by both routes, term weights first, fused and cut where the best stand clear, without parents."""
+    cut = retrieval.dynamic_cut(_fused(_hits(spark, d)), PARENTS).filter(F.col("rank") < max(3 * PARENTS, 18))
+    return _shown(cut.filter(F.col("rank") < PARENTS), "query_id", "doc_id", "rank")
+
+
+HYBRID_FLAT = f"""WITH {ROUTES}, {RRF} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, score FROM rrf QUALIFY rank < {PARENTS}"""
+FILTERED = f"""{ROUTES}, {RRF},
+    v AS (SELECT query_id, parent_id, count(*) AS hits, round(max(score) + 0.1::DOUBLE * (count(*) - 1), 9) AS score FROM rrf JOIN (SELECT doc_id, parent_id FROM corpus) USING (doc_id) GROUP BY 1, 2),
+    qx AS (SELECT query_id, query, t || more AS terms FROM q1),
+    m AS (SELECT v.*, qx.query, valid_until, len(list_filter(terms, lambda x: contains(lower(text), x))) > 0 AS c, coalesce(len(list_filter(terms, lambda x: contains(lower(title), x))) > 0, false) AS h
+      FROM v JOIN qx USING (query_id) JOIN documents ON doc_id = parent_id),
+    f AS (SELECT query_id, parent_id, hits, query, valid_until, round(CASE WHEN h THEN score + 0.05::DOUBLE ELSE score END, 9) AS score FROM m QUALIFY c OR h OR NOT bool_or(c OR h) OVER (PARTITION BY query_id)),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank FROM f)"""
+HEADING_FILTER = f"WITH {FILTERED} SELECT query_id, parent_id, hits, rank, score FROM fr WHERE rank < {PARENTS}"
+HYBRID = f"""WITH {FILTERED},
+    g AS (SELECT query_id, avg(score) FILTER (rank < {PARENTS}) AS top, avg(score) FILTER (rank >= {2 * PARENTS}) AS tail FROM fr GROUP BY 1),
+    cand AS (SELECT fr.* FROM fr JOIN g USING (query_id) WHERE rank < CASE WHEN coalesce(abs(top) >= 1e-6 AND abs(top - tail) / abs(top) > 0.15, false) THEN {2 * PARENTS} ELSE {max(3 * PARENTS, 18)} END),
+    ct AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '{TOKEN}')) AS qt FROM cand),
+    b AS (SELECT query_id, ct.parent_id, hits, valid_until, max(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, l)) / len(qt)::DOUBLE END) AS best
+      FROM ct JOIN corpus ON corpus.parent_id = ct.parent_id JOIN dt USING (doc_id) GROUP BY ALL),
+    a AS (SELECT query_id, parent_id, hits, round(1 / (1 + exp(-best)), 9)
+      * CASE WHEN coalesce(try_cast(regexp_replace(replace(valid_until, '/', '-'), '[Zz]$', '') AS TIMESTAMP) < TIMESTAMP '2026-08-31', false) THEN 0.5::DOUBLE ELSE 1 END AS score FROM b)
+    SELECT query_id, parent_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, score FROM a QUALIFY rank < {PARENTS}"""
 
 
 def dynamic_cut(spark, d):
@@ -136,10 +254,17 @@ DYNAMIC_CUT = f"""WITH {ROUTES}, {RRF},
     SELECT query_id, clear, CASE WHEN clear THEN least(n, 10) ELSE n END AS kept FROM c"""
 
 
+def _window_texts(spark, d, hits: DataFrame) -> DataFrame:
+    """hits (…, doc_id) with the ``text`` of their windows and ``source``; only documents that are hit are cut."""
+    found = hits.withColumn("parent_id", F.floor(F.col("doc_id") / WINDOWS).cast("bigint")).withColumn("no", (F.col("doc_id") % WINDOWS).cast("int"))
+    docs = _corpus(spark, d).select(F.col("doc_id").alias("parent_id"), F.col("text").alias("whole"), "source")
+    part = F.when(F.length("whole") <= 400, F.col("whole")).otherwise(F.substring("whole", F.col("no") * 300 + 1, F.lit(400)))
+    return found.join(docs, "parent_id").withColumn("text", part).drop("whole", "parent_id", "no")
+
+
 def simple_rerank(spark, d):
-    docs = _corpus(spark, d).select("doc_id", "text", "source")
     weight = F.when(F.col("source").startswith("course"), 1.0).when(F.col("source").startswith("teaching"), 0.8).otherwise(0.5)
-    hits = _route(spark, d).select("query_id", "doc_id", "score").join(docs, "doc_id")
+    hits = _window_texts(spark, d, _route(spark, d).select("query_id", "doc_id", "score"))
     scored = hits.select("query_id", "doc_id", F.round(retrieval.simple_rerank_score(F.col("score"), F.col("text"), weight), 9).alias("score"))
     return _shown(retrieval.top(scored, 5, ["query_id"]), "query_id", "doc_id", "rank")
 
@@ -147,20 +272,25 @@ def simple_rerank(spark, d):
 SIMPLE_RERANK = f"""WITH {ROUTES}, s AS (SELECT query_id, doc_id, round(score * 0.6::DOUBLE
       + CASE WHEN length(text) < 50 THEN 0.3 WHEN length(text) < 200 THEN 0.8 WHEN length(text) < 500 THEN 1.0 ELSE 0.7 END::DOUBLE * 0.2::DOUBLE
       + CASE WHEN starts_with(source, 'course') THEN 1.0 WHEN starts_with(source, 'teaching') THEN 0.8 ELSE 0.5 END::DOUBLE * 0.2::DOUBLE, 9) AS score
-      FROM routes JOIN corpus USING (doc_id) WHERE route = 1)
+      FROM routes JOIN (SELECT corpus.*, source FROM corpus JOIN documents d ON d.doc_id = parent_id) USING (doc_id) WHERE route = 1)
     SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, score FROM s QUALIFY rank < 5"""
 
 
 def chunk_rerank(spark, d):
-    """The best chunk's lexical overlap with the question, for each hit: a reranker with the default scorer. Every chunk is scored."""
-    docs = _corpus(spark, d).select("doc_id", "text")
-    hits = _route(spark, d).select("query_id", "doc_id").join(_queries(spark, d).select("query_id", "query"), "query_id")
-    # Only documents that are hits are cut.
-    cut = F.explode(text.sliding_chunks(F.col("text"), most=None)).alias("chunk")
-    pairs = docs.join(F.broadcast(hits), "doc_id").select("query_id", "doc_id", "query", cut)
-    overlap = retrieval.lexical_overlap(_tokens("query"), _tokens("chunk"))
-    best = pairs.groupBy("query_id", "doc_id").agg(F.round(F.max(overlap), 9).alias("score"))
-    return _shown(retrieval.top(best, 5, ["query_id"]), "query_id", "doc_id", "rank")
+    """Each hit's document by the lexical overlap of its best window with the question: a reranker with the default
+    scorer. Every window is scored."""
+    windows = index(spark, d)[0].select("parent_id", F.transform("terms", lambda t: t["term"]).alias("held"))
+    hits = _route(spark, d).join(index(spark, d)[0].select("doc_id", "parent_id"), "doc_id").select("query_id", "parent_id").distinct()
+    pairs = windows.join(hits.join(_queries(spark, d).select("query_id", "query"), "query_id"), "parent_id")
+    overlap = retrieval.lexical_overlap(_tokens("query"), F.col("held"))
+    best = pairs.groupBy("query_id", "parent_id").agg(F.round(F.max(overlap), 9).alias("score"), F.round(F.avg(overlap), 9).alias("mean"))
+    return _shown(retrieval.top(best, 5, ["query_id"], tie="parent_id"), "query_id", "parent_id", "rank", "mean")
+
+
+CHUNK_RERANK = f"""WITH {ROUTES}, h AS (SELECT DISTINCT query_id, corpus.parent_id, list_distinct(regexp_extract_all(lower(query), '{TOKEN}')) AS qt FROM routes JOIN corpus USING (doc_id) JOIN q0 USING (query_id) WHERE route = 1),
+    s AS (SELECT query_id, h.parent_id, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, l)) / len(qt)::DOUBLE END AS o FROM h JOIN corpus ON corpus.parent_id = h.parent_id JOIN dt USING (doc_id) WHERE len(l) > 0),
+    b AS (SELECT query_id, parent_id, round(max(o), 9) AS score, round(avg(o), 9) AS mean FROM s GROUP BY 1, 2)
+    SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, mean, score FROM b QUALIFY rank < 5"""
 
 
 def tfidf_fit(spark, d):
@@ -231,8 +361,7 @@ RECALL = f"""WITH {DENSE}, n AS (SELECT label AS want, count(*) AS total FROM e
 
 def keyword_recall(spark, d):
     """The share of the expected keywords that the first five hits of each question hold, whatever their case."""
-    docs = _corpus(spark, d).select("doc_id", F.lower("text").alias("text"))
-    hits = _route(spark, d).filter("rank < 5").join(docs, "doc_id")
+    hits = _window_texts(spark, d, _route(spark, d).filter("rank < 5")).withColumn("text", F.lower("text"))
     words = _queries(spark, d).select("query_id", F.explode(F.array_distinct(F.transform("expected_keywords", F.lower))).alias("keyword"))
     found = words.join(hits.select("query_id", "text", "rank"), "query_id", "left")
     first = found.groupBy("query_id", "keyword").agg(F.min(F.when(F.contains("text", F.col("keyword")), F.col("rank"))).alias("rank"))
@@ -249,25 +378,32 @@ KEYWORD_RECALL = f"""WITH {ROUTES},
     SELECT query_id, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 6) AS recall, round(coalesce(1.0::DOUBLE / (min(rank) + 1), 0), 6) AS mrr FROM f GROUP BY 1"""
 
 
+#: Keywords of all questions up to which they are sent to every task.
+MOST_KEYWORDS = 100_000
+
+
 def keyword_truth(spark, d):
-    """Documents that hold at least three of a question's keywords, as they are: its ground truth by text.
+    """Documents that hold any of a question's keywords, as they are: its ground truth by text.
 
-    The keywords of all questions are one list, so each document is looked through once for each distinct keyword.
+    The keywords of all questions are one list, so each document is looked through once for each distinct keyword; more
+    than ``MOST_KEYWORDS`` are refused.
     """
     words = table(spark, d, "eval_items").select("item_id", F.explode(F.array_distinct("expected_keywords")).alias("keyword"))
-    distinct = words.select("keyword").distinct().agg(F.collect_set("keyword").alias("all"))
-    held = _corpus(spark, d).join(F.broadcast(distinct), F.lit(True)).select(
+    distinct = words.select("keyword").distinct()
+    if distinct.limit(MOST_KEYWORDS + 1).count() > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    held = _corpus(spark, d).join(F.broadcast(distinct.agg(F.collect_set("keyword").alias("all"))), F.lit(True)).select(
         "doc_id", F.explode(F.filter("all", lambda k: F.contains(F.col("text"), k))).alias("keyword")
     )
-    found = held.join(words, "keyword").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).filter("n >= 3")
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    found = held.join(words, "keyword").groupBy("item_id", "doc_id").agg(F.count("*").alias("keywords"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"), F.max("keywords").alias("most_keywords"))
 
 
 KEYWORD_TRUTH = r"""
     WITH w AS (SELECT item_id, unnest(list_distinct(expected_keywords)) AS keyword FROM eval_items), k AS (SELECT DISTINCT keyword FROM w),
     h AS (SELECT doc_id, keyword FROM documents, k WHERE regexp_matches(text, '[\p{L}\p{N}]') AND contains(text, keyword)),
-    f AS (SELECT item_id, doc_id FROM h JOIN w USING (keyword) GROUP BY 1, 2 HAVING count(*) >= 3)
-    SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM f GROUP BY 1"""
+    f AS (SELECT item_id, doc_id, count(*) AS n FROM h JOIN w USING (keyword) GROUP BY 1, 2)
+    SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc, max(n) AS most_keywords FROM f GROUP BY 1"""
 
 
 def context_precision(spark, d):
@@ -305,14 +441,18 @@ def _grid_sql() -> str:
 
 
 QUERIES = {
-    "hybrid_parent_child": hybrid_parent_child, "sparse_top": sparse_top, "fusion_rrf": fusion_rrf,
+    "hybrid_parent_child": hybrid_parent_child, "hybrid_flat": hybrid_flat, "heading_filter": heading_filter, "query_variants": query_variants,
+    "dense_text_top": dense_text_top, "fusion_convex": _fusion("convex", [0.7, 0.3]), "sparse_top": sparse_top, "fusion_rrf": fusion_rrf,
     "fusion_weighted_sum": _fusion("weighted", [0.7, 0.3]), "fusion_combmnz": _fusion("combmnz", [1.0, 1.0]),
     "dynamic_cut": dynamic_cut, "simple_rerank": simple_rerank, "chunk_rerank": chunk_rerank, "tfidf_fit": tfidf_fit, "dense_top": dense_top,
     "label_votes": label_votes, "recall_mrr_ndcg": recall_mrr_ndcg, "keyword_recall": keyword_recall, "keyword_truth": keyword_truth,
     "context_precision": context_precision, "fusion_grid": fusion_grid,
 }
 SQL = {
-    "hybrid_parent_child": HYBRID,
+    "hybrid_parent_child": HYBRID, "hybrid_flat": HYBRID_FLAT, "heading_filter": HEADING_FILTER, "chunk_rerank": CHUNK_RERANK,
+    "query_variants": f"WITH {VARIANTS} SELECT query_id, variant::INT AS variant, query FROM variants",
+    "dense_text_top": f"WITH {ROUTES} SELECT query_id, doc_id, rank, score FROM routes WHERE route = 2 AND rank < 5",
+    "fusion_convex": _fusion_sql("sum(score * CASE route WHEN 1 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END)"),
     "sparse_top": f"WITH {ROUTES} SELECT query_id, doc_id, rank, score FROM routes WHERE route = 1 AND rank < 5",
     "fusion_rrf": _fusion_sql("sum(1.0::DOUBLE / (60 + rank + 1))"),
     "fusion_weighted_sum": _fusion_sql("sum(score * CASE route WHEN 1 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END)"),

@@ -225,7 +225,7 @@ INCREMENTAL_DIFF = """
 def _chunks(cut):
     def query(spark: SparkSession, d: str) -> DataFrame:
         c = chunking.chunked(_docs(spark, d), "doc_id", "text", cut)
-        return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("chars"))
+        return c.select("doc_id", "chunk_no", "path", F.md5("chunk").alias("chunk"), F.length("chunk").alias("chars"))
 
     return query
 
@@ -273,7 +273,7 @@ QUERIES = {
     "language_counts": language_counts, "token_estimates": token_estimates, "markdown_scores": markdown_scores, "content_ids": content_ids,
     "sliding_chunks": sliding_chunks, "pii_rule_mask": pii_rules, "injection_risk": injection_risk, "filter_language": filter_language,
     "visible_documents": visible_documents, "infer_metadata": infer_metadata, "table_html": table_html, "markdown_elements": markdown_elements,
-    "duplicate_contents": duplicate_contents, "incremental_diff": incremental_diff, "chunk_fixed": _chunks(chunking.fixed),
+    "duplicate_contents": duplicate_contents, "incremental_diff": incremental_diff, "chunk_fixed": _chunks(chunking.fixed), "chunk_smart": _chunks(chunking.smart),
     "chunk_headings": _chunks(chunking.by_headings), "chunk_auto": _chunks(chunking.auto), "chunk_parent_child": _chunks(chunking.parent_child),
     "log_levels": log_levels, "label_selector": label_selector, "series_keys": series_keys,
 }

@@ -17,3 +17,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def state_of(spark: SparkSession, folder: str, name: str) -> tuple[str, int, int, int]:
+    """Path, bytes, files and time of the last change of a table: equal as long as its files are the same."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = system.getContentSummary(file)
+    return path, size.getLength(), size.getFileCount(), system.getFileStatus(file).getModificationTime()
