@@ -150,8 +150,10 @@ def series_key(name: Column, labels: Column) -> Column:
     return F.concat(safe, F.lit("{"), F.array_join(parts, ","), F.lit("}"))
 
 
-def safe_file_name(name: Column, most: int = 128) -> Column:
-    """The last part of a path, control characters as underscores, cut to ``most`` characters with its extension kept."""
+def safe_file_name(name: Column, most: int = 128, stem: int = 60) -> Column:
+    """The last part of a path with underscores for control characters. Of one beyond ``most`` bytes the first ``stem``
+    characters of its stem and its extension are kept; one without a name is ``unnamed``."""
     base = F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[\x00-\x1f\x7f]", "_")
-    ext = F.regexp_extract(base, r"(\.[^.]{1,16})$", 1)
-    return F.when(F.length(base) <= most, base).otherwise(F.concat(F.substring(base, F.lit(1), most - F.length(ext)), ext))
+    ext = F.regexp_extract(base, r"(\.[^.]*)$", 1)
+    cut = F.concat(F.substring(base, F.lit(1), F.least(F.lit(stem), F.length(base) - F.length(ext))), ext)
+    return F.when(F.trim(base) == "", "unnamed").when(F.octet_length(base) <= most, base).otherwise(cut)

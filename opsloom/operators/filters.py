@@ -49,3 +49,8 @@ def visible(org: str | None = None, user: str | None = None, source: str | None
     if own:
         rule = merged(rule, {"$or": [{"shared": "true"}, {"$and": own}]})
     return merged(rule, extra)
+
+
+def child(org: str | None = None, user: str | None = None, source: str | None = None, extra: dict | None = None) -> dict:
+    """What a caller may see of the children."""
+    return merged({"chunk_type": "child"}, visible(org, user, source, extra))

@@ -106,6 +106,40 @@ def front_matter(text: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
+# Fields of front matter that documents are known by.
+BUSINESS_FIELDS = ["doc_type", "service", "severity", "incident_id", "root_cause", "resolution", "occurred_at", "tags", "source", "valid_until", "effective_date"]
+
+
+def business_fields(matter: Column) -> Column:
+    """Those of a map's entries that are known fields with a value."""
+    return F.map_filter(matter, lambda k, v: k.isin(BUSINESS_FIELDS) & (F.trim(v) != ""))
+
+
+# How pages are numbered.
+PAGE_NUMBER = r"^(?:\d+|第\s*\d+\s*页|Page\s+\d+|-\s*\d+\s*-|\d+\s*/\s*\d+|第\s*\d+\s*页\s*共\s*\d+\s*页)$"
+
+
+def furniture(blocks: DataFrame) -> DataFrame:
+    """blocks (file_id, pos, text, page_number) with ``reason``: page number, repeated on at least half of the pages of
+    its file and twice, or body."""
+    text = F.trim("text")
+    pages = blocks.groupBy("file_id").agg(F.count_distinct("page_number").alias("__pages"))
+    times = blocks.groupBy("file_id", text.alias("__t")).agg(F.count("*").alias("__n"))
+    joined = blocks.withColumn("__t", text).join(pages, "file_id").join(times, ["file_id", "__t"])
+    often = F.col("__n") >= F.greatest(F.lit(2), F.floor(F.col("__pages") / 2))
+    return joined.withColumn("reason", F.when(F.col("__t").rlike(PAGE_NUMBER), "page number").when(often, "repeated").otherwise("body")).drop("__t", "__n", "__pages")
+
+
+_STARTS = r"^(?:\d+[.)]|[一二三四五六七八九十]+[、.]|第[一二三四五六七八九十\d]+[章节部分]|[A-Z]|[•·▪]|[-*+]\s)"
+
+
+def goes_on(before: Column, now: Column, at_top: Column) -> Column:
+    """Whether a block continues the paragraph of the block before it on the page before: it isn't at the top of the body,
+    the one before doesn't end like a sentence, and it doesn't begin like a paragraph."""
+    open_ = ~F.rtrim(before).rlike(r"[。！？.!?：:\"”）)]$")
+    return F.coalesce(~at_top & open_ & (F.trim(now) != "") & ~F.trim(now).rlike(_STARTS), F.lit(False))
+
+
 # Words that tell a document's type, in order; the first six count in the body too.
 TYPE_RULES = [
     ("postmortem", "postmortem"), ("复盘", "postmortem"), ("incident", "incident"), ("inc-", "incident"), ("事故", "incident"),
@@ -142,6 +176,27 @@ def table_html(text: Column) -> Column:
     return F.concat(F.lit("<table>"), line(F.element_at(rows, 1), "th"), F.array_join(body, ""), F.lit("</table>"))
 
 
+def flat_alerts(deliveries: DataFrame) -> DataFrame:
+    """Alert items with their labels and annotations as columns, status and fingerprint in normal form."""
+    plain = lambda c: F.nullif(F.lower(F.btrim(F.col(c), F.lit(" \t"))), F.lit(""))
+    label = lambda name: F.try_element_at("labels", F.lit(name)).alias(name)
+    return deliveries.select(
+        "delivery_id", plain("status").alias("status"), plain("fingerprint").alias("fingerprint"), *map(label, ("service", "severity", "alertname", "instance")),
+        F.try_element_at("annotations", F.lit("summary")).alias("summary"),
+    )
+
+
+def severity_rank(severity: Column) -> Column:
+    """0 for critical, 1 for warning, 2 for info, 3 for anything else."""
+    return F.when(severity == "critical", 0).when(severity == "warning", 1).when(severity == "info", 2).otherwise(3)
+
+
+def alert_key(fingerprint: Column, alertname: Column, instance: Column) -> Column:
+    """What an alert is known by: its fingerprint, or its name and instance where it has none."""
+    named = F.concat(F.coalesce(alertname, F.lit("")), F.lit(":"), F.coalesce(instance, F.lit("")))
+    return F.when(fingerprint.isNotNull(), F.concat(F.lit("fp:"), fingerprint)).otherwise(named)
+
+
 LEVEL = "(ERROR|WARNING|WARN|INFO|DEBUG|TRACE)"
 
 
