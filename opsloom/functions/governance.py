@@ -89,6 +89,22 @@ def injection_risk(text: Column) -> Column:
     return out
 
 
+def verdict(text: Column) -> Column:
+    """struct(block, reason, level): whether a text is refused, by the number of the first pattern that occurs."""
+    said = lambda block, reason, level: F.struct(F.lit(block).alias("block"), F.lit(reason).alias("reason"), F.lit(level).alias("level"))
+    value, out = F.coalesce(text, F.lit("")), said(False, "", "none")
+    rules = [(level, n, p) for level, patterns in INJECTION_RULES.items() for n, p in enumerate(patterns, 1)]
+    for level, n, pattern in reversed(rules):
+        out = F.when(value.rlike(pattern), said(level == "high", f"{level} {n}", level)).otherwise(out)
+    return out
+
+
+def content_note(text: Column) -> Column:
+    """What is noted beside retrieved content, which is never refused: high and medium risks only."""
+    risk = injection_risk(text)
+    return F.when(risk.isin("high", "medium"), F.concat(F.lit("risk: "), risk))
+
+
 def without_separators(text: Column) -> Column:
     """The text without lines that pose as another speaker's."""
     return F.regexp_replace(text, SEPARATOR, "")

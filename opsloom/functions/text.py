@@ -27,6 +27,17 @@ def word_tokens(text: Column) -> Column:
     return _all(F.lower(text), r"[\p{L}\p{N}_]+")
 
 
+# Words that carry nothing.
+STOP_WORDS = ["的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这"]
+
+
+def mixed_tokens(text: Column) -> Column:
+    """Lower-case ASCII words, then runs of other letters and digits of two characters and more that carry something."""
+    low = F.lower(text)
+    rest = _all(F.regexp_replace(low, "[a-z]+", " "), r"[\p{L}\p{N}_]+")
+    return F.concat(_all(low, "[a-z]+"), F.filter(rest, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS)))
+
+
 def eval_tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits, underscores and Han characters, in order."""
     return _all(text, "[a-zA-Z0-9_一-龥]+")

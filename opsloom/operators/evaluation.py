@@ -30,6 +30,28 @@ def ranking_quality(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def keyword_quality(words: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall, mrr, ndcg) from words (query_id, keyword) and the first k hits (query_id, rank, text).
+
+    A keyword counts at the first hit that holds it. The ideal has all of them at the first places, one at each.
+    """
+    found = words.join(hits.select("query_id", "text", "rank"), "query_id", "left")
+    first = found.groupBy("query_id", "keyword").agg(F.min(F.when(F.contains("text", F.col("keyword")), F.col("rank"))).alias("rank"))
+    g = first.groupBy("query_id").agg(F.count("*").alias("n"), F.count("rank").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 2)).alias("gain"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return g.select("query_id", zero(F.col("found") / F.col("n")).alias("recall"), zero(1.0 / (F.col("first") + 1)).alias("mrr"), zero(F.col("gain") / F.col("n") / ideal).alias("ndcg"))
+
+
+def supported(claims: DataFrame, key: str, words: Column, held: Column, least: float) -> DataFrame:
+    """(key, claims, faithfulness): the share of an answer's claims of whose words the context has enough; where no model
+    judges."""
+    own = F.array_distinct(words)
+    share = F.size(F.array_intersect(own, held)) / F.size(own)
+    g = claims.groupBy(key).agg(F.count("*").alias("claims"), F.count_if(share >= least).alias("n"))
+    return g.select(key, "claims", F.round(F.col("n") / F.col("claims"), 6).alias("faithfulness"))
+
+
 def context_precision(judged: DataFrame) -> DataFrame:
     """(query_id, context_precision): useful hits weighted by 1 / (rank + 1), as a share of all weights."""
     weight = 1.0 / (F.col("rank") + 1)
