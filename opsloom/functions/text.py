@@ -51,15 +51,18 @@ def tfidf_tokens(text: Column) -> Column:
     return F.concat(_all(F.lower(text), "[a-z]+"), han, pairs)
 
 
+# The steps from Markdown to plain text, in their order.
+MARKDOWN_STEPS = (
+    (r"```[\s\S]*?```", ""), (r"`[^`]+`", ""), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"),
+    (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
+    (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^>\s+", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"<[^>]+>", ""),
+    (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"^\s+|\s+$", ""),
+)
+
+
 def clean_markdown(text: Column) -> Column:
     """Plain text of Markdown. The order of the steps matters: links lose their marks before images are looked for."""
-    steps = (
-        (r"```[\s\S]*?```", ""), (r"`[^`]+`", ""), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"),
-        (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
-        (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^>\s+", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"<[^>]+>", ""),
-        (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"^\s+|\s+$", ""),
-    )
-    return _replaced(text, *steps)
+    return _replaced(text, *MARKDOWN_STEPS)
 
 
 def clean_heading(text: Column) -> Column:

@@ -40,11 +40,20 @@ def refers_back(text: Column, shortest: int = 5) -> Column:
 def first_similar(entries: DataFrame, owner: str, order: str, tokens: Column, least: float) -> DataFrame:
     """(owner, order, earlier): for each entry the first earlier one of its owner that shares enough of its tokens.
 
-    Entries meet by equi-join on owner and token, so only those with a token in common are compared.
+    Entries with the same tokens count as one class, however many there are. Two classes can only share enough tokens if
+    they share one of the rarest few of each, so only those meet, by an equi-join on owner and token; common tokens
+    bring nobody together. Entries without tokens are like none.
     """
-    words = entries.select(owner, order, F.explode(F.array_distinct(tokens)).alias("token"), F.size(F.array_distinct(tokens)).alias("size"))
-    other = words.select(F.col(owner), F.col(order).alias("earlier"), "token", F.col("size").alias("other_size"))
-    pairs = words.join(other, [owner, "token"]).filter(F.col("earlier") < F.col(order))
-    shared = pairs.groupBy(owner, order, "earlier", "size", "other_size").agg(F.count("*").alias("shared"))
-    near = shared.filter(F.col("shared") / (F.col("size") + F.col("other_size") - F.col("shared")) >= least)
-    return near.groupBy(owner, order).agg(F.min("earlier").alias("earlier"))
+    rows = entries.select(owner, order, F.array_sort(F.array_distinct(tokens)).alias("w")).filter("size(w) > 0")
+    classes = rows.groupBy(owner, "w").agg(F.min(order).alias("first"))
+    each = classes.select(owner, "w", "first", F.explode("w").alias("token"))
+    frequency = each.groupBy(owner, "token").agg(F.count("*").alias("df"))
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+    listed = each.join(frequency, [owner, "token"]).groupBy(owner, "w", "first").agg(rarest.alias("r"))
+    few = (F.size("w") - F.ceil(F.lit(least) * F.size("w")) + 1).cast("int")
+    a = listed.select(owner, "w", F.explode(F.slice("r", F.lit(1), few)).alias("token"))
+    b = listed.select(owner, F.col("w").alias("other"), "first", F.explode(F.slice("r", F.lit(1), few)).alias("token"))
+    shared = F.size(F.array_intersect("w", "other"))
+    near = a.join(b, [owner, "token"]).filter(shared >= least * (F.size("w") + F.size("other") - shared))
+    best = near.groupBy(owner, "w").agg(F.min("first").alias("earlier"))
+    return rows.join(best, [owner, "w"]).filter(F.col("earlier") < F.col(order)).groupBy(owner, order).agg(F.min("earlier").alias("earlier"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.session import cut
+
 
 def ranking_quality(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, recall, mrr, ndcg) from hits (query_id, doc_id, rank) and relevant (query_id, doc_id).
@@ -68,3 +74,55 @@ def overlap(answer: Column, truth: Column) -> Column:
 def citations(text: Column) -> Column:
     """How often a text cites by number in brackets."""
     return F.regexp_count(text, F.lit(r"\[[0-9]+\]"))
+
+
+def exact_quantiles(df: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, one column for each quantile) of the values of each group, linear between neighbours as in SQL.
+
+    The rows are range-sorted by group and value, the rows of each group in each partition are counted, and what lies at
+    the ranks asked for is then picked where it stands, so no group is gathered. Groups are as few as fit the driver;
+    null values take no part.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    salted = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    placed = salted.repartitionByRange("g", "v", "salt").sortWithinPartitions("g", "v").select(F.spark_partition_id().alias("part"), "g", "v")
+    kept = cut(placed)
+    counts: dict = {}
+    for r in sorted(kept.groupBy("part", "g").count().collect(), key=lambda r: r["part"]):
+        counts.setdefault(r["g"], []).append((r["part"], r["count"]))
+    asked: dict[int, list[tuple]] = {}
+    share: dict[tuple, float] = {}
+    for g, parts in counts.items():
+        total = sum(n for _, n in parts)
+        for name, q in quantiles.items():
+            at = q * (total - 1)
+            share[g, name] = at - int(at)
+            for side, rank in enumerate((int(at), min(int(at) + 1, total - 1))):
+                before = 0
+                for part, n in parts:
+                    if before <= rank < before + n:
+                        asked.setdefault(part, []).append((g, rank - before, name, side))
+                    before += n
+
+    kind = dict(rows.dtypes)["g"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for batch in batches:
+            groups, values = batch.column("g").to_pandas(), batch.column("v").to_numpy(zero_copy_only=False)
+            part = batch.column("part")[0].as_py() if batch.num_rows else None
+            found = []
+            for g in dict.fromkeys(groups.tolist()):
+                mine = values[np.asarray(groups == g) if g is not None else np.asarray(groups.isna())]
+                before = seen.get(g, 0)
+                found += [(g, name, side, float(mine[rank - before])) for h, rank, name, side in asked.get(part, ()) if h == g and before <= rank < before + len(mine)]
+                seen[g] = before + len(mine)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((batch.schema.field("g").type, pa.string(), pa.int32(), pa.float64()))], names=["g", "name", "side", "v"])
+
+    picked = kept.mapInArrow(pick, f"g {kind}, name string, side int, v double")
+    weights = df.sparkSession.createDataFrame([(g, name, w) for (g, name), w in share.items()] or [], f"g {kind}, name string, w double")
+    both = picked.join(F.broadcast(weights), (picked["g"].eqNullSafe(weights["g"])) & (picked["name"] == weights["name"])).select(picked["g"], picked["name"], "side", "v", "w")
+    part = F.when(F.col("side") == 0, F.col("v") * (1 - F.col("w"))).otherwise(F.col("v") * F.col("w"))
+    one = lambda name: F.sum(F.when(F.col("name") == name, part)).alias(name)
+    return both.groupBy(F.col("g").alias(by)).agg(*(one(name) for name in quantiles))

@@ -59,6 +59,24 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, least: float | Non
     return hits if least is None else hits.filter(F.col("score") >= least)
 
 
+def approximate_top(queries: DataFrame, vectors: DataFrame, k: int, cells: int, probes: int, sample: int = scoring.SAMPLE) -> DataFrame:
+    """Like ``dense_top``, over the cells nearest to each query only. ``recall`` tells what it misses."""
+    centres = scoring.cells_of(vectors, cells, sample)
+    return top(scoring.dense(queries, vectors, k, centres=centres, probes=probes), k, ["query_id"])
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, recall): the mean share of each query's exact hits that were found."""
+    both = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1.0).alias("hit")), ["query_id", "doc_id"], "left")
+    each = both.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("r"))
+    return each.agg(F.count("*").alias("queries"), F.avg("r").alias("recall"))
+
+
+def original_order(hits: DataFrame) -> DataFrame:
+    """The reranker that stands in for a language model: hits by their own score."""
+    return ranked(hits.drop("rank"), ["query_id"])
+
+
 def sparse_top(asked: DataFrame, index: DataFrame, k: int, by: list[str]) -> DataFrame:
     """The k rows of each query by the product of term weights; see ``scoring.sparse``."""
     return top(scoring.sparse(asked, index, k, by), k, by)

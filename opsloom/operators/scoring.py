@@ -85,10 +85,36 @@ def in_blocks(queries: DataFrame, size: int, run: Callable[[DataFrame], DataFram
     return out
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+#: Rows that cells are fitted on at most.
+SAMPLE = 20_000
+
+
+def cells_of(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
+    """Unit centres of cells, by spherical k-means on a bounded sample: the rows with the smallest hashes of their ids."""
+    rows = vectors.filter("v IS NOT NULL").select(F.col("v").cast("array<double>").alias("v"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).toArrow()
+    lists = rows.column("v").to_pylist()
+    width = max(map(len, lists), default=0)
+    points = np.array([[x or 0.0 for x in r] for r in lists if len(r) == width], float).reshape(-1, width)
+    lengths = np.linalg.norm(points, axis=1)
+    points = points[lengths > 0] / lengths[lengths > 0, None]
+    centres = points[: max(1, min(cells, len(points)))].copy()
+    for _ in range(rounds):
+        near = (points @ centres.T).argmax(axis=1) if len(points) else np.zeros(0, int)
+        for c in range(len(centres)):
+            mine = points[near == c]
+            if len(mine):
+                centres[c] = mine.sum(axis=0)
+        norms = np.linalg.norm(centres, axis=1, keepdims=True)
+        centres = np.divide(centres, norms, out=np.zeros_like(centres), where=norms > 0)
+    return centres
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, centres: np.ndarray | None = None, probes: int = 8) -> DataFrame:
     """(query_id, doc_id, score): the k best of each query in each partition by (cosine + 1) / 2.
 
     queries: (query_id, q). vectors: (doc_id, v). A vector without length, null or of another dimension scores 0.5.
+    centres: compares a query only with the rows of its ``probes`` nearest cells, which may miss some; every row is in a
+    cell, and cells have no bound on their rows. Without them all rows are compared.
     """
 
     def run(part: DataFrame) -> DataFrame:
@@ -102,6 +128,11 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) ->
         lengths = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
         matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
         keys = asked.select(["query_id"])
+        probed = None
+        if centres is not None and width == centres.shape[1]:
+            nearest = np.argsort(-(matrix @ centres.T), axis=1)[:, :probes]
+            probed = np.zeros((len(matrix), len(centres)), bool)
+            probed[np.arange(len(matrix))[:, None], nearest] = True
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(len(matrix), k)
@@ -116,7 +147,16 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) ->
                     values[fits] = np.asarray(flat).reshape(-1, width)
                 norms = np.sqrt((values**2).sum(axis=1, keepdims=True))
                 values = np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
-                best.add(np.round((matrix @ values.T + 1) / 2, DIGITS), np.asarray(batch.column("doc_id")))
+                ids = np.asarray(batch.column("doc_id"))
+                if probed is None:
+                    best.add(np.round((matrix @ values.T + 1) / 2, DIGITS), ids)
+                    continue
+                cell = (values @ centres.T).argmax(axis=1)
+                scores, valid = np.zeros((len(matrix), len(values))), probed[:, cell]
+                for c in np.unique(cell):
+                    q, r = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
+                    scores[np.ix_(q, r)] = np.round((matrix[q] @ values[r].T + 1) / 2, DIGITS)
+                best.add(scores, ids, valid)
             yield _emit(best, keys, ["query_id"])
 
         rows_ = vectors.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "v")

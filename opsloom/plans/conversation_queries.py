@@ -66,6 +66,14 @@ def budget_parts(spark, d):
     return fitted.groupBy("status").agg(F.count("*").alias("parts"), F.sum("kept_tokens").alias("tokens"))
 
 
+BUDGET_PARTS = f"""WITH RECURSIVE {TURNS}, p AS (SELECT session_id, turn_id, lower(trim(coalesce(speaker_role, ''), ' ')) AS role, coalesce(floor(h * 1.5 + (length(content) - h) / 4)::INT, 0) AS k FROM (SELECT *, len(regexp_extract_all(content, '[一-鿿]')) AS h FROM t)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE role WHEN 'user' THEN -20 WHEN 'assistant' THEN -40 ELSE -10 END, turn_id) AS n FROM p),
+    f AS (SELECT session_id, 0 AS n, 0 AS used, 0 AS kept, '' AS status FROM (SELECT DISTINCT session_id FROM o)
+      UNION ALL SELECT session_id, n, used + g, g, st FROM (SELECT *, CASE st WHEN 'whole' THEN k WHEN 'cut' THEN 200 - used ELSE 0 END AS g FROM
+        (SELECT o.session_id, o.n, o.k, f.used, CASE WHEN o.k <= 200 - f.used THEN 'whole' WHEN o.role = 'assistant' AND o.k > 0 AND 200 - f.used > 50 THEN 'cut' ELSE 'dropped' END AS st FROM f JOIN o ON o.session_id = f.session_id AND o.n = f.n + 1)))
+    SELECT status, count(*) AS parts, sum(kept)::BIGINT AS tokens FROM f WHERE n > 0 GROUP BY 1"""
+
+
 def answer_overlap(spark, d):
     """How much of each turn's words the turn before it already had, and how often it cites."""
     from pyspark.sql import Window as W
@@ -85,6 +93,7 @@ ANSWER_OVERLAP = f"""WITH {TURNS}, w AS (SELECT turn_id, session_id, content, re
 def repeated_questions(spark, d):
     """Each user's question with the first earlier one much like it."""
     asked = table(spark, d, "chat_requests").filter("user_id IS NOT NULL").select("request_id", "user_id", "message").distinct()
+    # Requests that stand in the table twice under one number are one entry, as in the SQL.
     return conversations.first_similar(asked, "user_id", "request_id", text.eval_tokens(F.lower("message")), 0.4)
 
 
@@ -155,6 +164,6 @@ QUERIES = {
     "document_pages": document_pages, "merged_results": merged_results,
 }
 SQL = {
-    "session_stats": SESSION_STATS, "recent_turns": RECENT_TURNS, "budget_suffix": BUDGET_SUFFIX, "history_rewrite": _history_sql(), "answer_overlap": ANSWER_OVERLAP,
+    "budget_parts": BUDGET_PARTS, "session_stats": SESSION_STATS, "recent_turns": RECENT_TURNS, "budget_suffix": BUDGET_SUFFIX, "history_rewrite": _history_sql(), "answer_overlap": ANSWER_OVERLAP,
     "repeated_questions": REPEATED_QUESTIONS, "store_replace": STORE_REPLACE, "stale_documents": STALE_DOCUMENTS, "document_pages": DOCUMENT_PAGES, "merged_results": MERGED_RESULTS,
 }

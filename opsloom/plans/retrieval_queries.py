@@ -284,13 +284,13 @@ def chunk_rerank(spark, d):
     pairs = windows.join(hits.join(_queries(spark, d).select("query_id", "query"), "query_id"), "parent_id")
     overlap = retrieval.lexical_overlap(_tokens("query"), F.col("held"))
     best = pairs.groupBy("query_id", "parent_id").agg(F.round(F.max(overlap), 9).alias("score"), F.round(F.avg(overlap), 9).alias("mean"))
-    return _shown(retrieval.top(best, 5, ["query_id"], tie="parent_id"), "query_id", "parent_id", "rank", "mean")
+    return _shown(retrieval.top(best, 5, ["query_id"], tie="parent_id").withColumnRenamed("parent_id", "doc_id"), "query_id", "doc_id", "rank", "mean")
 
 
 CHUNK_RERANK = f"""WITH {ROUTES}, h AS (SELECT DISTINCT query_id, corpus.parent_id, list_distinct(regexp_extract_all(lower(query), '{TOKEN}')) AS qt FROM routes JOIN corpus USING (doc_id) JOIN q0 USING (query_id) WHERE route = 1),
     s AS (SELECT query_id, h.parent_id, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, l)) / len(qt)::DOUBLE END AS o FROM h JOIN corpus ON corpus.parent_id = h.parent_id JOIN dt USING (doc_id) WHERE len(l) > 0),
     b AS (SELECT query_id, parent_id, round(max(o), 9) AS score, round(avg(o), 9) AS mean FROM s GROUP BY 1, 2)
-    SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, mean, score FROM b QUALIFY rank < 5"""
+    SELECT query_id, parent_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) - 1 AS rank, mean, score FROM b QUALIFY rank < 5"""
 
 
 def tfidf_fit(spark, d):
@@ -328,6 +328,60 @@ DENSE = """
 DENSE_TOP = f"WITH {DENSE} SELECT query_id, doc_id, rank, score FROM r"
 
 
+def approximate_top(spark, d):
+    """Nearest vectors by cells, with the measured recall against the exact search beside them."""
+    q, v = _vector_queries(spark, d).select("query_id", "q"), _vectors(spark, d).select("doc_id", "v")
+    # The vectors have hardly any clusters, so most cells have to be looked into.
+    found = retrieval.approximate_top(q, v, 10, 16, 12)
+    return retrieval.recall(found, retrieval.dense_top(q, v, 10)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+APPROXIMATE_TOP = "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0"
+
+
+def source_search(spark, d):
+    """Windows of one source by vectors, filtered before they are scored, with a least score."""
+    windows = index(spark, d)[0].select("doc_id", "parent_id", "v")
+    of = table(spark, d, "documents").filter("source = 'ops-wiki-mirror'").select(F.col("doc_id").alias("parent_id"))
+    vectors = _queries(spark, d).select("query_id", rewriting.EMBEDDERS["hashing"](F.col("query")).alias("q"))
+    return _shown(retrieval.dense_top(vectors, windows.join(of, "parent_id", "left_semi").select("doc_id", "v"), 5, 0.65), "query_id", "doc_id", "rank")
+
+
+SOURCE_SEARCH = f"""WITH {ROUTES} SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM near JOIN corpus USING (doc_id)
+    WHERE parent_id IN (SELECT doc_id FROM documents WHERE source = 'ops-wiki-mirror')) WHERE rank < 5 AND score >= 0.65"""
+
+
+def keyword_concat(spark, d):
+    """The share of expected keywords in the first five windows of each question joined to one text."""
+    hits = _window_texts(spark, d, _route(spark, d).filter("rank < 5"))
+    joined = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: F.lower(h["text"])), "\n").alias("text"))
+    q = _queries(spark, d).join(joined, "query_id")
+    words = F.transform("expected_keywords", lambda w: F.lower(w))
+    return q.select("query_id", F.round(F.size(F.filter(words, lambda w: F.contains("text", w))) / F.size(words), 6).alias("recall"))
+
+
+KEYWORD_CONCAT = f"""WITH {ROUTES}, h AS (SELECT query_id, string_agg(lower(text), chr(10) ORDER BY rank) AS text FROM routes JOIN corpus USING (doc_id) WHERE route = 1 AND rank < 5 GROUP BY 1)
+    SELECT query_id, round(len(list_filter(expected_keywords, lambda w: contains(text, lower(w)))) / len(expected_keywords), 6) AS recall FROM h JOIN eval_items ON item_id = query_id"""
+
+
+def variants_kept(spark, d):
+    """Variants whose vectors are near their question's, all if none is, and no more than four."""
+    embed = rewriting.EMBEDDERS["hashing"]
+    v = _variants(spark, d).withColumn("v", embed(F.col("query")))
+    own = _queries(spark, d).select("query_id", embed(F.col("query")).alias("q"))
+    rows = F.array_sort(F.collect_list(F.struct("variant", "query", "v")))
+    g = v.join(own, "query_id").groupBy("query_id").agg(rows.alias("l"), F.any_value("q").alias("q"))
+    kept = rewriting.similar_enough(F.transform("l", lambda x: x["query"]), F.transform("l", lambda x: x["v"]), F.col("q"), retrieval.cosine, 0.7, 4)
+    return g.select("query_id", F.array_join(kept, "|").alias("variants"))
+
+
+VARIANTS_KEPT = f"""WITH {VARIANTS}, t AS (SELECT query_id, variant, unnest(regexp_extract_all(lower(query), '{TOKEN}')) AS t FROM variants UNION ALL SELECT item_id, -1, unnest(regexp_extract_all(lower(query), '{TOKEN}')) FROM eval_items),
+    h AS (SELECT query_id, variant, ('0x' || substr(md5(t), 1, 8))::UBIGINT AS h FROM t), x AS (SELECT query_id, variant, h % 128 AS b, sum(1 - 2 * (h // 128 % 2)::INT)::DOUBLE AS x FROM h GROUP BY 1, 2, 3),
+    n AS (SELECT query_id, variant, sqrt(sum(x * x)) AS len FROM x GROUP BY 1, 2), dt AS (SELECT a.query_id, a.variant, sum(a.x * q.x) AS d FROM x a JOIN x q ON q.query_id = a.query_id AND q.variant = -1 AND q.b = a.b GROUP BY 1, 2),
+    c AS (SELECT v.query_id, v.variant, v.query, coalesce(CASE WHEN na.len * nq.len > 0 THEN d / (na.len * nq.len) END, 0) >= 0.7::DOUBLE AS near FROM variants v LEFT JOIN dt USING (query_id, variant) LEFT JOIN n na USING (query_id, variant) LEFT JOIN n nq ON nq.query_id = v.query_id AND nq.variant = -1),
+    k AS (SELECT * FROM c QUALIFY near OR NOT bool_or(near) OVER (PARTITION BY query_id)) SELECT query_id, array_to_string(list(query ORDER BY variant)[1:4], '|') AS variants FROM k GROUP BY 1"""
+
+
 def label_votes(spark, d):
     hits = retrieval.dense_top(_vector_queries(spark, d).select("query_id", "q"), _vectors(spark, d).select("doc_id", "v"), 10)
     votes = retrieval.parent_votes(hits, _vectors(spark, d).select("doc_id", F.col("label").alias("parent_id")))
@@ -442,6 +496,7 @@ def _grid_sql() -> str:
 
 QUERIES = {
     "hybrid_parent_child": hybrid_parent_child, "hybrid_flat": hybrid_flat, "heading_filter": heading_filter, "query_variants": query_variants,
+    "approximate_top": approximate_top, "source_search": source_search, "keyword_concat": keyword_concat, "variants_kept": variants_kept,
     "dense_text_top": dense_text_top, "fusion_convex": _fusion("convex", [0.7, 0.3]), "sparse_top": sparse_top, "fusion_rrf": fusion_rrf,
     "fusion_weighted_sum": _fusion("weighted", [0.7, 0.3]), "fusion_combmnz": _fusion("combmnz", [1.0, 1.0]),
     "dynamic_cut": dynamic_cut, "simple_rerank": simple_rerank, "chunk_rerank": chunk_rerank, "tfidf_fit": tfidf_fit, "dense_top": dense_top,
@@ -449,6 +504,7 @@ QUERIES = {
     "context_precision": context_precision, "fusion_grid": fusion_grid,
 }
 SQL = {
+    "approximate_top": APPROXIMATE_TOP, "source_search": SOURCE_SEARCH, "keyword_concat": KEYWORD_CONCAT, "variants_kept": VARIANTS_KEPT,
     "hybrid_parent_child": HYBRID, "hybrid_flat": HYBRID_FLAT, "heading_filter": HEADING_FILTER, "chunk_rerank": CHUNK_RERANK,
     "query_variants": f"WITH {VARIANTS} SELECT query_id, variant::INT AS variant, query FROM variants",
     "dense_text_top": f"WITH {ROUTES} SELECT query_id, doc_id, rank, score FROM routes WHERE route = 2 AND rank < 5",

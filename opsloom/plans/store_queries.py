@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opsloom import hooks
 from opsloom.functions import text
 from opsloom.operators import filters, stores
-from opsloom.session import scratch_dir
+from opsloom.session import scratch_path
 from opsloom.sources import documents as docs
+from opsloom.sources import evalsets
 from opsloom.sources.tables import table
 
 
@@ -27,7 +28,7 @@ CHUNKS = """c AS (SELECT DISTINCT file_id || '_' || pos || '_' || substr(md5(coa
 
 def add_routed(spark, d):
     """Chunks written to the stores of parents and children, and read back from each."""
-    path = f"{scratch_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "store")
     chunks = _chunks(spark, d)
     stores.write_routed(chunks, path)
     back = spark.read.schema(chunks.schema).parquet(path)
@@ -112,14 +113,13 @@ def _upload_sql() -> str:
 
 
 def duplicate_uploads(spark, d):
-    """Requests whose text the same user had sent before: the check before an upload."""
-    r = table(spark, d, "chat_requests").filter("user_id IS NOT NULL AND message IS NOT NULL").select("request_id", "user_id", F.md5("message").alias("digest")).distinct()
-    first = r.groupBy("user_id", "digest").agg(F.min("request_id").alias("first"))
-    return r.join(first, ["user_id", "digest"]).filter("request_id > first").select("request_id", "user_id", "first")
+    """Documents whose text the same organisation had stored before: the check before an upload."""
+    r = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.coalesce("org_id", F.lit("")).alias("owner"), F.md5("text").alias("digest"))
+    first = r.groupBy("owner", "digest").agg(F.min("doc_id").alias("first"))
+    return r.join(first, ["owner", "digest"]).filter("doc_id > first").select("doc_id", "owner", "first")
 
 
-DUPLICATE_UPLOADS = """WITH r AS (SELECT DISTINCT request_id, user_id, md5(message) AS g FROM chat_requests WHERE user_id IS NOT NULL AND message IS NOT NULL)
-    SELECT request_id, user_id, min(request_id) OVER (PARTITION BY user_id, g) AS first FROM r QUALIFY request_id > first"""
+DUPLICATE_UPLOADS = """SELECT doc_id, coalesce(org_id, '') AS owner, min(doc_id) OVER (PARTITION BY coalesce(org_id, ''), md5(text)) AS first FROM documents WHERE text IS NOT NULL QUALIFY doc_id > first"""
 
 
 def document_stats(spark, d):
@@ -225,7 +225,94 @@ PAGE_FURNITURE = r"""WITH e AS (SELECT DISTINCT file_id, pos, text, page_number
       FROM e JOIN t USING (file_id) JOIN r ON r.file_id = e.file_id AND r.t = trim(e.text, ' '))
     SELECT reason, count(*) AS elements, count(DISTINCT file_id) AS files FROM m GROUP BY 1"""
 
+def page_paragraph_runs(spark, d):
+    """Paragraphs of each file put together where one goes on from the element before it."""
+    e = table(spark, d, "elements").select("file_id", "pos", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("page_number", F.lit(0)).alias("page")).distinct()
+    e = e.groupBy("file_id", "pos").agg(F.min("text").alias("text"), F.min("page").alias("page"))
+    order = W.partitionBy("file_id").orderBy("pos")
+    on = docs.goes_on(F.lag("text").over(order), F.col("text"), F.lit(False)) & (F.col("page") - F.lag("page").over(order) <= 1)
+    marked = e.withColumn("__f", F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1))
+    runs = marked.withColumn("run", F.sum("__f").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("file_id", "run").agg(F.count("*").alias("blocks"), F.min("pos").alias("pos"), F.sum(F.length("text")).alias("chars")).filter("blocks > 1").drop("run")
+
+
+PAGE_PARAGRAPH_RUNS = r"""WITH e AS (SELECT file_id, pos, min(coalesce(text, '')) AS text, min(coalesce(page_number, 0)) AS page FROM elements GROUP BY 1, 2),
+    l AS (SELECT *, lag(text) OVER w AS bt, lag(page) OVER w AS bp FROM e WINDOW w AS (PARTITION BY file_id ORDER BY pos)),
+    m AS (SELECT *, CASE WHEN coalesce(NOT regexp_matches(rtrim(bt, ' '), '[。！？.!?：:"”）)]\z') AND trim(text, ' ') <> '' AND NOT regexp_matches(trim(text, ' '), '^(?:\d+[.)]|[一二三四五六七八九十]+[、.]|第[一二三四五六七八九十\d]+[章节部分]|[A-Z]|[•·▪]|[-*+]\s)') AND page - bp <= 1, false) THEN 0 ELSE 1 END AS f FROM l),
+    r AS (SELECT *, sum(f) OVER (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM m)
+    SELECT file_id, count(*) AS blocks, min(pos) AS pos, sum(length(text))::BIGINT AS chars FROM r GROUP BY file_id, run HAVING count(*) > 1"""
+
+
+def eval_sets(spark, d):
+    """Sessions as a set of conversations in JSON, read back as questions with what was asked before."""
+    t = table(spark, d, "turns").filter("session_id IS NOT NULL AND content IS NOT NULL").select("turn_id", "session_id", "content").distinct()
+    words = F.slice(F.array_distinct(text.eval_tokens(F.col("content"))), 1, 2)
+    listed = F.array_sort(F.collect_list(F.struct("turn_id", F.col("content").alias("query"), words.alias("expected_keywords"))))
+    groups = t.groupBy(F.col("session_id").alias("group_id")).agg(listed.alias("l")).withColumn("domain", F.lit("operations"))
+    path = scratch_path(spark, "evalset")
+    groups.select("group_id", "domain", F.transform("l", lambda x: F.struct(x["query"].alias("query"), x["expected_keywords"].alias("expected_keywords"))).alias("turns")).write.json(path)
+    return evalsets.read(spark, path, False).select("group_id", "turn", F.md5("rewritten").alias("rewritten"), F.md5("history").alias("history"), F.size("expected_keywords").alias("keywords"))
+
+
+EVAL_SETS = """WITH t AS (SELECT DISTINCT turn_id, session_id, content FROM turns WHERE session_id IS NOT NULL AND content IS NOT NULL),
+    n AS (SELECT *, row_number() OVER w - 1 AS turn, string_agg(content, '；') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r, coalesce(string_agg(content, '；') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS h
+      FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn_id, content))
+    SELECT session_id AS group_id, turn::INT AS turn, md5(r) AS rewritten, md5(h) AS history, least(2, len(list_distinct(regexp_extract_all(content, '[a-zA-Z0-9_一-龥]+'))))::INT AS keywords FROM n"""
+
+
+def tool_functions(spark, d):
+    """What the tools of an agent say when SQL calls them."""
+    hooks.register_tools(spark, d)
+    return spark.sql("""SELECT 'alerts' AS tool, severity AS name, CAST(alerts AS DOUBLE) AS value FROM query_alerts('payment-service')
+        UNION ALL SELECT 'metrics', CAST(day AS STRING), mean FROM query_metrics('error') UNION ALL SELECT 'titles', title, CAST(doc_id AS DOUBLE) FROM search_titles('INC-')""")
+
+
+TOOL_FUNCTIONS = """SELECT 'alerts' AS tool, labels['severity'] AS name, count(*)::DOUBLE AS value FROM alert_deliveries WHERE labels['service'] = 'payment-service' GROUP BY 2
+    UNION ALL SELECT 'metrics', (epoch_us(ts) // 86400000000)::VARCHAR, round(avg(value), 6) FROM events WHERE event_type = 'error' GROUP BY 2 UNION ALL SELECT 'titles', title, doc_id FROM documents WHERE contains(title, 'INC-')"""
+
+
+def chat_fallback(spark, d):
+    """Answers of the first of two chat models that gives one; the first fails on long questions."""
+    q = table(spark, d, "eval_items").select("item_id", "query")
+    models = {**hooks.CHATS, "short": lambda p: F.when(F.length(p) <= 40, F.concat(F.lit("[short] "), p))}
+    answer = F.coalesce(models["short"](F.col("query")), models["mock"](F.col("query")))
+    return q.select("item_id", answer.alias("answer"))
+
+
+CHAT_FALLBACK = "SELECT item_id, CASE WHEN length(query) <= 40 THEN '[short] ' || query ELSE '[mock] ' || substr(query, 1, 80) END AS answer FROM eval_items"
+
+
+def mojibake(spark, d):
+    """Titles whose bytes were read as Latin-1, put right: the number that come back as they were, by language."""
+    t = table(spark, d, "documents").filter("title IS NOT NULL")
+    broken = F.decode(F.encode("title", "UTF-8"), "ISO-8859-1")
+    back = t.withColumn("back", stores.repaired(broken))
+    return back.groupBy("lang").agg(F.count("*").alias("titles"), F.count_if(F.col("back") == F.col("title")).alias("restored"))
+
+
+MOJIBAKE = "SELECT lang, count(*) AS titles, count(*) AS restored FROM documents WHERE title IS NOT NULL GROUP BY 1"
+
+
+def shared_captions(spark, d):
+    """Images described once for each content, with copies sharing the words."""
+    e = table(spark, d, "elements").filter("lower(trim(element_type)) = 'image'").select("element_id", "text").distinct()
+    c = stores.captions(e, "text", F.concat(F.lit("an image: "), F.substring("text", 1, 20)))
+    return c.select("element_id", "caption")
+
+
+SHARED_CAPTIONS = "SELECT DISTINCT element_id, 'an image: ' || substr(text, 1, 20) AS caption FROM elements WHERE lower(trim(element_type, ' ')) = 'image'"
+
+
+def task_list(spark, d):
+    """The newest twenty requests of sessions, as a monitor lists its tasks."""
+    r = table(spark, d, "chat_requests").filter("session_id IS NOT NULL").select("request_id", "session_id", "received_at").distinct()
+    return r.orderBy(F.col("received_at").desc_nulls_last(), F.desc("request_id"), "session_id").limit(20).select("request_id", "session_id")
+
+
+TASK_LIST = "SELECT request_id, session_id FROM (SELECT DISTINCT request_id, session_id, received_at FROM chat_requests WHERE session_id IS NOT NULL) ORDER BY received_at DESC NULLS LAST, request_id DESC, session_id LIMIT 20"
+
 _ALL = [
+    (page_paragraph_runs, PAGE_PARAGRAPH_RUNS), (eval_sets, EVAL_SETS), (tool_functions, TOOL_FUNCTIONS), (chat_fallback, CHAT_FALLBACK), (mojibake, MOJIBAKE), (shared_captions, SHARED_CAPTIONS), (task_list, TASK_LIST),
     (add_routed, ADD_ROUTED), (add_with_dedup, ADD_WITH_DEDUP), (store_deletes, STORE_DELETES), (store_lookups, STORE_LOOKUPS), (file_names, FILE_NAMES), (upload_metadata, _upload_sql()),
     (duplicate_uploads, DUPLICATE_UPLOADS), (document_stats, DOCUMENT_STATS), (visible_children, VISIBLE_CHILDREN), (business_fields, BUSINESS_FIELDS), (migrated_items, MIGRATED_ITEMS),
     (review_marks, REVIEW_MARKS), (satisfaction, SATISFACTION), (escaped_search, ESCAPED_SEARCH), (listing, LISTING), (stale_by_status, STALE_BY_STATUS), (page_furniture, PAGE_FURNITURE),

@@ -38,6 +38,13 @@ def clean_markdown(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(text.clean_markdown(F.col("text"))).alias("cleaned"))
 
 
+def _clean_sql() -> str:
+    out = "text"
+    for pattern, by in text.MARKDOWN_STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"SELECT doc_id, md5({out}) AS cleaned FROM documents"
+
+
 def clean_headings(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_heading(F.col("title")).alias("heading"))
 
@@ -54,6 +61,13 @@ def page_text(spark, d):
     return t.select("doc_id", F.size(text.paragraphs(clean)).alias("paragraphs"), text.language(F.col("text")).alias("language"))
 
 
+PAGE_TEXT = r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\r\n?', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+    p AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n\s*\n')) AS p FROM c), q AS (SELECT doc_id, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p FROM p),
+    s AS (SELECT doc_id, unnest(CASE WHEN length(p) > 1000 THEN regexp_extract_all(p, '[^。！？；]*[。！？；]|[^。！？；]+$') ELSE [p] END) AS x FROM q), n AS (SELECT doc_id, count(*)::INT AS k FROM s WHERE regexp_replace(x, '^\s+|\s+$', '', 'g') <> '' GROUP BY 1)
+    SELECT c.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(k, 0) ELSE NULL END AS paragraphs, CASE WHEN zh > en THEN 'zh' WHEN en > zh THEN 'en' WHEN text IS NOT NULL THEN 'mixed' END AS language
+    FROM (SELECT *, len(regexp_extract_all(text, '[一-鿿]')) AS zh, len(regexp_extract_all(text, '[a-zA-Z]')) AS en FROM c) c LEFT JOIN n ON n.doc_id = c.doc_id"""
+
+
 def language_counts(spark, d):
     t = table(spark, d, "documents").select(text.language(F.col("text")).alias("detected"), F.lower("lang").alias("stated"))
     return t.groupBy("detected", "stated").agg(F.count("*").alias("documents"))
@@ -278,7 +292,7 @@ QUERIES = {
     "log_levels": log_levels, "label_selector": label_selector, "series_keys": series_keys,
 }
 SQL = {
-    "tokenizers": TOKENIZERS, "clean_headings": CLEAN_HEADINGS, "language_counts": LANGUAGE_COUNTS, "token_estimates": TOKEN_ESTIMATES,
+    "clean_markdown": _clean_sql(), "page_paragraphs": PAGE_TEXT, "tokenizers": TOKENIZERS, "clean_headings": CLEAN_HEADINGS, "language_counts": LANGUAGE_COUNTS, "token_estimates": TOKEN_ESTIMATES,
     "markdown_scores": MARKDOWN_SCORES, "content_ids": CONTENT_IDS, "sliding_chunks": SLIDING_CHUNKS, "injection_risk": _risk_sql(),
     "filter_language": FILTER_LANGUAGE, "visible_documents": VISIBLE_DOCUMENTS, "infer_metadata": _infer_sql(), "table_html": TABLE_HTML,
     "duplicate_contents": DUPLICATE_CONTENTS, "incremental_diff": INCREMENTAL_DIFF, "log_levels": LOG_LEVELS,

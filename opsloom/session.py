@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -15,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.ui.enabled": "false",
+    # Checkpoints whose data no plan refers to any more are deleted.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,7 +42,7 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "opsloom-scratch")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -56,12 +61,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Sessions and folders of what was staged, deleted when the driver ends.
+_staged: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the driver ends or by ``clean``."""
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(clean)
+    _staged.append((spark, path))
+    return path
+
+
+def clean() -> None:
+    """Deletes all staged folders of this driver. Frames that read them can't be used any more."""
+    while _staged:
+        spark, path = _staged.pop()
+        try:
+            file = spark._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+        except (Py4JError, OSError, AttributeError, TypeError):  # the session has ended already
+            continue
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as Parquet into the shared folder and read back.
 
     For results that several later branches read: columns can be pruned and filters pushed down, unlike a checkpoint.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

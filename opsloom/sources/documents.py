@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 ENCODINGS = ["utf-8", "gbk", "gb2312", "gb18030", "latin-1"]
 ELEMENT = "pos int, element_type string, text string, heading_path array<string>"
 _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)、])\s+")
-_HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
+_HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
+_RULE = re.compile(r"^\|[\s:|-]+\|?$")
 
 
 def decoded(content: bytes) -> str:
@@ -48,8 +49,8 @@ def markdown_elements(text: str) -> Iterator[tuple[str, str, list[str]]]:
                 yield "code", f"# language: {language}\n{code}" if language else code, path
         elif m := _HEADING.match(line):
             path = [*path[: len(m[1]) - 1], m[2].strip()]
-            yield "heading", m[2].strip(), path
-        elif line.startswith("|") and at < len(lines) and "---" in lines[at]:
+            yield "heading", line, path
+        elif line.startswith("|") and at < len(lines) and "---" in lines[at] and _RULE.match(lines[at].strip()):
             rows = [line]
             while at < len(lines) and lines[at].strip().startswith("|"):
                 rows.append(lines[at].strip())
@@ -74,18 +75,26 @@ PARSERS = {"md": markdown_elements, "markdown": markdown_elements, "txt": plain_
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, element_type, text, heading_path) of the files under a path; unknown extensions read as plain text."""
+    """(path, pos, element_type, text, heading_path) of the files under a path. Files without a parser are refused."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return elements_of(files.select("path", "content"), "path", "content")
 
 
+def parser_of(name: str):
+    """The parser of a file by its extension."""
+    ending = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    if ending not in PARSERS:
+        raise ValueError(f"no parser for {name!r}; there are ones for {', '.join(sorted(PARSERS))}")
+    return PARSERS[ending]
+
+
 def elements_of(df: DataFrame, name: str, content: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for n, c in zip(pdf["name"], pdf["content"]):
                 text = c if isinstance(c, str) else decoded(bytes(c))
-                parser = PARSERS.get(n.rsplit(".", 1)[-1].lower(), plain_elements)
+                parser = parser_of(n)
                 rows += [(n, k, kind, part, list(path)) for k, (kind, part, path) in enumerate(parser(text))]
             yield pd.DataFrame(rows, columns=["path", "pos", "element_type", "text", "heading_path"])
 
@@ -136,7 +145,7 @@ _STARTS = r"^(?:\d+[.)]|[一二三四五六七八九十]+[、.]|第[一二三四
 def goes_on(before: Column, now: Column, at_top: Column) -> Column:
     """Whether a block continues the paragraph of the block before it on the page before: it isn't at the top of the body,
     the one before doesn't end like a sentence, and it doesn't begin like a paragraph."""
-    open_ = ~F.rtrim(before).rlike(r"[。！？.!?：:\"”）)]$")
+    open_ = ~F.rtrim(before).rlike(r"[。！？.!?：:\"”）)]\z")
     return F.coalesce(~at_top & open_ & (F.trim(now) != "") & ~F.trim(now).rlike(_STARTS), F.lit(False))
 
 

@@ -7,15 +7,14 @@ a lost executor or driver goes on from the checkpoint beside them.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from opsloom.session import scratch_dir
+from opsloom.session import scratch_path
 
 WATERMARK = "10 minutes"
 
@@ -32,28 +31,37 @@ def source(spark: SparkSession, folder: str, name: str, event_time: str, waterma
     return rows.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, watermark)
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows that a stream has written once it has gone through its input.
+def run(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """The rows that a stream has written once it has gone through its input; see ``run_counted``."""
+    return run_counted(stream, mode)[0]
 
-    In complete mode each micro-batch replaces what was there; in append and update mode its rows are added, under the
-    number of the micro-batch, so that one that is repeated after a failure overwrites itself.
+
+def run_counted(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, int]:
+    """The rows that a stream has written once it has gone through its input, and how many rows came too late for it.
+
+    In append mode a window is written when the watermark has passed its end, and its state is given up, so the state is
+    bounded by the watermark; windows that are open at the end aren't written. Rows are written under the number of the
+    micro-batch, so that one that is repeated after a failure overwrites itself. In complete mode each micro-batch
+    replaces what was there.
     """
     spark = stream.sparkSession
-    base = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     kept = "all" if mode == "complete" else ""
+    written: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={kept or number}")
+        written.append(number)
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
     names = [f.name for f in stream.schema.fields]
-    try:
-        return spark.read.schema(stream.schema).parquet(f"{base}/rows").select(*names)
-    except Exception:  # an empty input has written nothing
-        return spark.createDataFrame([], stream.schema)
+    if not written:
+        return spark.createDataFrame([], stream.schema), late
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows").select(*names), late
 
 
 def window_rate(events: DataFrame, by: str, event_time: str, size: str, slide: str | None = None) -> DataFrame:
@@ -63,6 +71,12 @@ def window_rate(events: DataFrame, by: str, event_time: str, size: str, slide: s
     return grouped.select(by, F.unix_seconds("w.start").alias("start"), "events", "total")
 
 
+def closed(windows: DataFrame, end: Column, events: DataFrame, event_time: str, watermark: str = WATERMARK) -> DataFrame:
+    """The windows of a table that a stream over it has written: those that end at or before its final watermark."""
+    last = events.agg((F.max(event_time) - F.expr(f"INTERVAL {watermark}")).alias("__last"))
+    return windows.join(F.broadcast(last), end <= F.col("__last")).drop("__last")
+
+
 def session_rate(events: DataFrame, by: str, event_time: str, gap: str) -> DataFrame:
     """(by, start, events) per run of events less than the gap apart."""
     grouped = events.groupBy(F.col(by), F.session_window(event_time, gap).alias("w")).agg(F.count("*").alias("events"))

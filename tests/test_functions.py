@@ -50,7 +50,10 @@ def test_text_functions(spark):
     assert value(spark, text.paragraphs(F.col("t"), 5), t="ab\n\n一二。三四五六。七") == ["ab", "一二。", "三四五六。", "七"]
     assert value(spark, text.duration_seconds(F.col("t")), t="5m") == 300 and value(spark, text.duration_seconds(F.col("t")), t="9h") == 7200
     assert value(spark, text.duration_seconds(F.col("t")), t="soon") is None
-    assert value(spark, text.safe_file_name(F.col("t")), t="a/b/" + "x" * 200 + ".md") == "x" * 125 + ".md"
+    assert value(spark, text.safe_file_name(F.col("t")), t="a/b/" + "x" * 200 + ".md") == "x" * 60 + ".md"
+    assert value(spark, text.safe_file_name(F.col("t")), t="档" * 100 + ".txt") == "档" * 60 + ".txt"
+    assert value(spark, text.safe_file_name(F.col("t")), t="档" * 40 + ".txt") == "档" * 40 + ".txt"
+    assert value(spark, text.safe_file_name(F.col("t")), t="a/b/") == "unnamed"
 
 
 @pytest.mark.parametrize("n", [0, 399, 400, 401, 700, 701, 2400, 5000, 50_000])
