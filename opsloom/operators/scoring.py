@@ -94,6 +94,8 @@ def cells_of(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int =
     rows = vectors.filter("v IS NOT NULL").select(F.col("v").cast("array<double>").alias("v"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).toArrow()
     lists = rows.column("v").to_pylist()
     width = max(map(len, lists), default=0)
+    if not width:
+        return np.zeros((0, 0))
     points = np.array([[x or 0.0 for x in r] for r in lists if len(r) == width], float).reshape(-1, width)
     lengths = np.linalg.norm(points, axis=1)
     points = points[lengths > 0] / lengths[lengths > 0, None]
@@ -129,7 +131,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, ce
         matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
         keys = asked.select(["query_id"])
         probed = None
-        if centres is not None and width == centres.shape[1]:
+        if centres is not None and len(centres) and width == centres.shape[1]:
             nearest = np.argsort(-(matrix @ centres.T), axis=1)[:, :probes]
             probed = np.zeros((len(matrix), len(centres)), bool)
             probed[np.arange(len(matrix))[:, None], nearest] = True

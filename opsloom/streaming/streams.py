@@ -112,7 +112,7 @@ def held(events: DataFrame, by: str, event_time: str, at_least: int, hold_s: int
         state.setTimeoutTimestamp(max(last * 1000 + hold_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[by, "fired_at", "events"])
 
-    rows = events.withColumn("s", F.unix_seconds(F.col(event_time)))
+    rows = events.filter(F.col(event_time).isNotNull()).withColumn("s", F.unix_seconds(F.col(event_time)))
     kind = dict(events.dtypes)[by]
     return rows.select(by, event_time, "s").groupBy(by).applyInPandasWithState(
         step, f"{by} {kind}, fired_at bigint, events int", "since bigint, last bigint, n int, fired int", "append", GroupStateTimeout.EventTimeTimeout

@@ -28,6 +28,12 @@ def test_problem_query_on_empty_and_null_tables(spark, empty_tables, null_tables
     assert registry.QUERIES[name](spark, null_tables).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_every_query_runs_on_empty_and_null_tables(spark, empty_tables, null_tables, name):
+    for folder in (empty_tables, null_tables):
+        registry.QUERIES[name](spark, folder).collect()
+
+
 def test_nothing_but_the_subpackage_imports_it():
     from pathlib import Path
 
