@@ -198,6 +198,14 @@ TOPOLOGY = """
     SELECT src, dst, min(hops)::INT AS hops FROM (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) GROUP BY 1, 2"""
 
 
+def topology_all(spark, d):
+    """The same over every order line: an edge for any sale."""
+    return topology(spark, d, 0, 1)
+
+
+TOPOLOGY_ALL = TOPOLOGY.replace("WHERE l_quantity >= 50 ", "").replace(" HAVING count(*) >= 3", "")
+
+
 def revenue_rollup(spark, d):
     """Order values by region and nation with subtotals."""
     joined = (
@@ -274,14 +282,13 @@ ORDER_ORDER = """
 
 
 def instances_seen(spark, d):
-    """Instances of each service, those that only the last month has, and those that it lacks."""
+    """Instances of each service, those that only the last month has, and those that it lacks. Each pair is one row before
+    services are counted, so no service is gathered."""
     t = table(spark, d, "alert_deliveries").select(F.col("labels")["service"].alias("service"), F.col("labels")["instance"].alias("instance"), "received_at").dropna()
-    old = t.filter("received_at < timestamp_ntz'2026-10-15'").groupBy("service").agg(F.collect_set("instance").alias("old"))
-    new = t.filter("received_at >= timestamp_ntz'2026-10-15'").groupBy("service").agg(F.collect_set("instance").alias("new"))
-    both = old.join(new, "service", "full")
-    empty = F.array().cast("array<string>")
-    a, b = F.coalesce("old", empty), F.coalesce("new", empty)
-    return both.select("service", F.size(F.array_union(a, b)).alias("all"), F.size(F.array_except(b, a)).alias("only_new"), F.size(F.array_except(a, b)).alias("only_old"))
+    old = F.col("received_at") < F.lit("2026-10-15").cast("timestamp_ntz")
+    pairs = t.groupBy("service", "instance").agg(F.bool_or(old).alias("o"), F.bool_or(~old).alias("n"))
+    count = lambda c: F.count_if(c).cast("int")
+    return pairs.groupBy("service").agg(F.count("*").cast("int").alias("all"), count(~F.col("o")).alias("only_new"), count(~F.col("n")).alias("only_old"))
 
 
 INSTANCES_SEEN = """
@@ -293,12 +300,12 @@ INSTANCES_SEEN = """
 QUERIES = {
     "counter_rate": counter_rate, "grid_values": grid_values, "bucket_quantiles": bucket_quantiles, "held_conditions": held_conditions, "trends": trends,
     "user_sessions": user_sessions, "last_change": last_change, "request_limit": request_limit, "token_buckets": token_buckets, "circuit_breakers": breakers,
-    "noise_share": noise_share, "inhibited_warnings": inhibited, "topology_reach": topology, "revenue_rollup": revenue_rollup, "pricing_summary": pricing_summary,
+    "noise_share": noise_share, "inhibited_warnings": inhibited, "topology_reach": topology, "topology_all": topology_all, "revenue_rollup": revenue_rollup, "pricing_summary": pricing_summary,
     "latency_summary": latency_summary, "json_props": json_props, "severity_pivot": severity_pivot, "event_order": order_order, "instances_seen": instances_seen,
 }
 SQL = {
     "counter_rate": COUNTER_RATE, "grid_values": GRID_VALUES, "bucket_quantiles": BUCKET_QUANTILES, "held_conditions": HELD_CONDITIONS, "trends": TRENDS,
-    "user_sessions": USER_SESSIONS, "last_change": LAST_CHANGE, "noise_share": NOISE_SHARE, "inhibited_warnings": INHIBITED, "topology_reach": TOPOLOGY,
+    "user_sessions": USER_SESSIONS, "last_change": LAST_CHANGE, "noise_share": NOISE_SHARE, "inhibited_warnings": INHIBITED, "topology_reach": TOPOLOGY, "topology_all": TOPOLOGY_ALL,
     "revenue_rollup": REVENUE_ROLLUP, "pricing_summary": PRICING_SUMMARY, "latency_summary": LATENCY_SUMMARY, "json_props": JSON_PROPS,
     "request_limit": REQUEST_LIMIT, "token_buckets": TOKEN_BUCKETS, "circuit_breakers": BREAKERS, "severity_pivot": SEVERITY_PIVOT, "event_order": ORDER_ORDER, "instances_seen": INSTANCES_SEEN,
 }
