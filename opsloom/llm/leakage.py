@@ -24,6 +24,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -393,6 +394,12 @@ def _densest(found: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:
     return best
 
 
+@lru_cache(2)
+def _items(rows: tuple[tuple[int, str], ...]) -> Items:
+    """The items of a block, made once in each worker."""
+    return Items(list(rows))
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, share, start, end) of each document and each item that it reveals."""
     given = items.select("item_id", "passage").filter(F.col("passage").isNotNull()).distinct()
@@ -403,7 +410,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     for block in blocks:
 
         def scan(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            known = Items(block)
+            known = _items(tuple(block))
             for pdf in frames:
                 found = [
                     (d, *hit)
