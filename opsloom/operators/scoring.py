@@ -72,15 +72,17 @@ def _emit(best: Best, keys: pa.Table, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=[*names, "doc_id", "score"])
 
 
-def in_blocks(queries: DataFrame, size: int, run: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+def in_blocks(queries: DataFrame, size: int, run: Callable[[pa.Table], DataFrame], key: str) -> DataFrame:
     """The hits of all queries, block by block. One block is planned with the rest; several are written one by one, so
     that the driver never holds more than one of them."""
-    blocks = -(-max(1, queries.count()) // size)
-    if blocks == 1:
-        return run(queries)
+    first = queries.limit(size + 1).toArrow()
+    if first.num_rows <= size:
+        return run(first)
+    kept = stage_table(queries, "queries")
+    blocks = -(-kept.count() // size)
     out = None
     for b in range(blocks):
-        part = stage_table(run(queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)), "hits")
+        part = stage_table(run(kept.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow()), "hits")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -119,8 +121,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, ce
     cell, and cells have no bound on their rows. Without them all rows are compared.
     """
 
-    def run(part: DataFrame) -> DataFrame:
-        asked = part.select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()
+    asked_rows = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+
+    def run(asked: pa.Table) -> DataFrame:
         rows = asked.column("q").to_pylist()
         width = max((len(r) for r in rows if r), default=0)
         matrix = np.zeros((len(rows), width))
@@ -162,9 +165,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, ce
             yield _emit(best, keys, ["query_id"])
 
         rows_ = vectors.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "v")
-        return rows_.mapInArrow(score, _schema(part, ["query_id"]))
+        return rows_.mapInArrow(score, _schema(asked_rows, ["query_id"]))
 
-    return in_blocks(queries, block, run, "query_id")
+    return in_blocks(asked_rows, block, run, "query_id")
 
 
 def sparse(asked: DataFrame, index: DataFrame, k: int, by: list[str], block: int = BLOCK_WEIGHTS) -> DataFrame:
@@ -173,8 +176,9 @@ def sparse(asked: DataFrame, index: DataFrame, k: int, by: list[str], block: int
     asked: (*by, term, w). index: (doc_id, terms array<struct<term, w>>). Rows that share no term are no hits.
     """
 
-    def run(part: DataFrame) -> DataFrame:
-        rows = part.select(*by, "term", "w").toArrow()
+    asked_rows = asked.select(*by, "term", "w")
+
+    def run(rows: pa.Table) -> DataFrame:
         keys: dict[tuple, int] = {}
         where: dict[str, tuple[list[int], list[float]]] = {}
         for *key, term, w in zip(*(rows.column(c).to_pylist() for c in [*by, "term", "w"])):
@@ -207,6 +211,6 @@ def sparse(asked: DataFrame, index: DataFrame, k: int, by: list[str], block: int
                         best.add(np.round(total.T, DIGITS), np.asarray(batch.column("doc_id")), shared.T)
             yield _emit(best, named, by)
 
-        return index.select(F.col("doc_id").cast("bigint").alias("doc_id"), "terms").mapInArrow(score, _schema(part, by))
+        return index.select(F.col("doc_id").cast("bigint").alias("doc_id"), "terms").mapInArrow(score, _schema(asked_rows, by))
 
-    return in_blocks(asked, block, run, by[0])
+    return in_blocks(asked_rows, block, run, by[0])
