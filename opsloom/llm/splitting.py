@@ -27,6 +27,9 @@ PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 0.0, 0.15, 0.2, 0.6, 1.2, 3.0
 # How much a piece of no length at all, against an even split, costs.
 IMBALANCE = 2.0
 
+#: Texts that are solved side by side.
+TOGETHER = 128
+
 _BOUNDARIES = [
     (PARAGRAPH, re.compile(r"\n[ \t\r]*\n\s*")),
     (LINE, re.compile(r"\r?\n")),
@@ -61,19 +64,34 @@ def boundaries(text: str, step: int, words: bool = True) -> tuple[np.ndarray, np
     further apart than a step, so that no piece could reach from one to the next, every position that parts no
     user-perceived character.
     """
+    cost = _ends(text, {len(text): 0.0}, _BOUNDARIES[:-1])
+    return _with_words(text, step, cost) if words else _arrays(cost)
+
+
+def _ends(text: str, cost: dict[int, float], kinds: list) -> dict[int, float]:
+    """cost with the ends of further kinds of boundaries; the first kind of a position counts."""
     n = len(text)
-    cost: dict[int, float] = {n: 0.0}
-    for penalty, pattern in _BOUNDARIES if words else _BOUNDARIES[:-1]:
+    for penalty, pattern in kinds:
         for m in pattern.finditer(text):
-            if 0 < m.end() < n:
-                cost.setdefault(m.end(), penalty)
+            end = m.end()
+            if end < n and end not in cost:
+                cost[end] = penalty
+    return cost
+
+
+def _arrays(cost: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    where = sorted(cost)
+    return np.array(where), np.array([cost[k] for k in where])
+
+
+def _with_words(text: str, step: int, cost: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    cost = _ends(text, cost, _BOUNDARIES[-1:])
     before = 0
-    for at in sorted(cost) if words else ():
+    for at in sorted(cost):
         if at - before > step:
             cost.update(_anywhere(text, before, at, step))
         before = at
-    where = np.array(sorted(cost))
-    return where, np.array([cost[k] for k in where.tolist()])
+    return _arrays(cost)
 
 
 def _anywhere(text: str, before: int, at: int, step: int) -> dict[int, float]:
@@ -86,18 +104,72 @@ def _anywhere(text: str, before: int, at: int, step: int) -> dict[int, float]:
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """The pieces [start, end) of a text."""
-    n = len(text)
-    if n <= limit:
-        return [(0, n)]
+    return split_all([text], limit, overlap)[0]
+
+
+def split_all(texts: list[str], limit: int, overlap: int) -> list[list[tuple[int, int]]]:
+    """The pieces [start, end) of each text. Texts that need the ends of words are solved side by side."""
     overlap = max(0, min(overlap, limit - 1))
     step = limit - overlap
-    fewest = 1 + -(-(n - limit) // step)
-    even = (n + (fewest - 1) * overlap) / fewest
-    # A way with a cut behind a word or inside one costs at least this, so a cheaper way without such cuts is the best.
-    price, cuts = _cheapest(*boundaries(text, step, words=False), limit, overlap, even)
-    if not price <= fewest + WORD:
-        cuts = _cheapest(*boundaries(text, step), limit, overlap, even)[1]
-    return [(0, cuts[0])] + [(a - overlap, b) for a, b in zip(cuts, cuts[1:])]
+    cuts: list[list[int]] = [[] for _ in texts]
+    hard: list[tuple[int, np.ndarray, np.ndarray, float]] = []
+    for at, text in enumerate(texts):
+        n = len(text)
+        if n <= limit:
+            cuts[at] = [n]
+            continue
+        fewest = 1 + -(-(n - limit) // step)
+        even = (n + (fewest - 1) * overlap) / fewest
+        # A way with a cut behind a word or inside one costs at least this, so a cheaper way without such cuts is the best.
+        cost = _ends(text, {n: 0.0}, _BOUNDARIES[:-1])
+        price, cuts[at] = _cheapest(*_arrays(cost), limit, overlap, even)
+        if not price <= fewest + WORD:
+            hard.append((at, *_with_words(text, step, cost), even))
+    hard.sort(key=lambda h: len(h[1]))
+    for begin in range(0, len(hard), TOGETHER):
+        group = hard[begin : begin + TOGETHER]
+        # A long text among short ones is solved alone, as the others would only wait for it.
+        together = [h for h in group if len(group) >= 8 and len(h[1]) <= 4 * len(group[0][1])]
+        for h, found in zip(together, _cheapest_all([h[1:] for h in together], limit, overlap) if together else ()):
+            cuts[h[0]] = found
+        for at, where, penalty, even in group[len(together) :]:
+            cuts[at] = _cheapest(where, penalty, limit, overlap, even)[1]
+    return [[(0, c[0])] + [(x - overlap, y) for x, y in zip(c, c[1:])] for c in cuts]
+
+
+def _cheapest_all(problems: list[tuple[np.ndarray, np.ndarray, float]], limit: int, overlap: int) -> list[list[int]]:
+    """``_cheapest`` for several texts at once, one position of each after the other; the cuts only."""
+    count, longest = len(problems), max(len(w) for w, _, _ in problems)
+    step, weight = limit - overlap, IMBALANCE / limit**2
+    where = np.full((count, longest), 1e12)
+    penalty = np.zeros((count, longest))
+    even = np.array([[e] for _, _, e in problems])
+    width = 1
+    for row, (w, p, _) in enumerate(problems):
+        where[row, : len(w)], penalty[row, : len(w)] = w, p
+        width = max(width, int((np.arange(len(w)) - np.searchsorted(w, w - step)).max()))
+    best = np.where(where <= limit, 1 + penalty + weight * (where - even) ** 2, np.inf)
+    before = np.where(where > overlap, best, np.inf)
+    come = np.full((count, longest), -1)
+    targets, rows = where + overlap - even, np.arange(count)
+    for j in range(1, longest):
+        low = max(0, j - width)
+        sizes = targets[:, j : j + 1] - where[:, low:j]
+        grid = before[:, low:j] + weight * sizes * sizes
+        grid[where[:, low:j] < where[:, j : j + 1] - step] = np.inf
+        k = grid.argmin(axis=1)
+        total = grid[rows, k] + 1 + penalty[:, j]
+        better = (total < best[:, j]) & (where[:, j] > overlap)
+        best[better, j] = before[better, j] = total[better]
+        come[better, j] = low + k[better]
+    out = []
+    for row, (w, _, _) in enumerate(problems):
+        cuts, j = [], len(w) - 1
+        while j >= 0:
+            cuts.append(int(w[j]))
+            j = come[row, j]
+        out.append(cuts[::-1])
+    return out
 
 
 def _cheapest(where: np.ndarray, penalty: np.ndarray, limit: int, overlap: int, even: float) -> tuple[float, list[int]]:
@@ -150,8 +222,13 @@ def pieces(df: DataFrame, limits: DataFrame, key: str, kind: str, text: str, kee
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             at, several, number, starts, ends, parts = [], [], [], [], [], []
-            for row, (whole, limit, overlap) in enumerate(zip(pdf["__text"], pdf["limit"], pdf["overlap"])):
-                found = split(whole, int(limit), int(overlap)) if limit == limit and limit else [(0, len(whole))]
+            texts, ruled = pdf["__text"].tolist(), pdf[["limit", "overlap"]].dropna()
+            cuts = [[(0, len(t))] for t in texts]
+            for (limit, overlap), mine in ruled[ruled["limit"] > 0].groupby(["limit", "overlap"]):
+                rows = [pdf.index.get_loc(i) for i in mine.index]
+                for row, found in zip(rows, split_all([texts[r] for r in rows], int(limit), int(overlap))):
+                    cuts[row] = found
+            for row, (whole, found) in enumerate(zip(texts, cuts)):
                 for k, (a, b) in enumerate(found):
                     at.append(row)
                     several.append(len(found) > 1)

@@ -78,6 +78,22 @@ def test_pieces_cover_and_overlap(text, limit, overlap):
         assert not any(splitting._glued(text, b) for _, b in parts[:-1])
 
 
+@pytest.mark.parametrize("limit,overlap", [(60, 0), (60, 15), (40, 39), (25, 20)])
+def test_texts_side_by_side_are_cut_as_alone(limit, overlap):
+    rng = random.Random(limit + overlap)
+    words = ["a", "bc", "word", "longerword", "x" * 30, "end.", "so,", "中文句子。", "\n", "\n\n"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ""]) for _ in range(rng.choice([0, 5, 40, 60, 60, 60, 400]))) for _ in range(60)]
+    together = splitting.split_all(texts, limit, overlap)
+    step = limit - overlap
+    for text, pieces in zip(texts, together):
+        assert pieces == splitting.split(text, limit, overlap)
+        n = len(text)
+        if n > limit:
+            fewest = 1 + -(-(n - limit) // step)
+            price, cuts = splitting._cheapest(*splitting.boundaries(text, step), limit, overlap, (n + (fewest - 1) * overlap) / fewest)
+            assert abs(cost_of(text, limit, overlap, [b for _, b in pieces]) - price) < 1e-9
+
+
 def test_every_end_of_a_word_takes_part():
     text = "one two, three four five, six seven eight nine ten"
     where, penalty = splitting.boundaries(text, 20)
