@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import parsing, rewriting, text
 from opsloom.operators import changes, conversations, evaluation, retrieval
-from opsloom.session import stage_table
+from opsloom.session import stage_table, still_staged
 from opsloom.sources.tables import spread, state_of, table
 
 NOW = "2026-08-31T00:00:00"
@@ -44,7 +44,7 @@ _built: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 def index(spark, d) -> tuple[DataFrame, DataFrame]:
     """(windows, terms): windows (doc_id, parent_id, terms, v) with the number of the window as doc_id; terms (term, df, idf)."""
     key = (spark.sparkContext.applicationId, *state_of(spark, d, "documents"))
-    if key not in _built:
+    if key not in _built or not all(map(still_staged, _built[key])):
         cut = F.posexplode(text.sliding_chunks(F.col("text"), most=None)).alias("no", "chunk")
         windows = _corpus(spark, d).select("doc_id", cut).select((F.col("doc_id") * WINDOWS + F.col("no")).alias("doc_id"), "chunk")
         counts = windows.select("doc_id", "chunk", F.sort_array(_tokens("chunk")).alias("tokens")).filter("size(tokens) > 0")

@@ -94,3 +94,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def still_staged(df: DataFrame) -> bool:
+    """Whether the files of a staged table are still there, as the shared folder may have been cleared."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        file = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return bool(file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file))
+    return False

@@ -195,3 +195,16 @@ def test_index_is_built_anew_when_documents_change(spark, tmp_path):
     assert retrieval_queries.index(spark, str(tmp_path))[0].count() == 1
     docs.withColumn("doc_id", F.lit(2).cast("long")).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
     assert retrieval_queries.index(spark, str(tmp_path))[0].count() == 2
+
+
+def test_index_is_built_anew_when_the_shared_folder_was_cleared(spark, tmp_path):
+    from opsloom import session
+    from opsloom.plans import retrieval_queries
+
+    spark.read.parquet(f"{SMALL}/eval_items.parquet").write.parquet(str(tmp_path / "eval_items.parquet"))
+    docs = spark.createDataFrame([(1, "alpha beta", "s", None)], "doc_id long, text string, source string, valid_until string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    first = retrieval_queries.index(spark, str(tmp_path))[0]
+    assert first.count() == 1 and session.still_staged(first)
+    session.clean()
+    assert not session.still_staged(first) and retrieval_queries.index(spark, str(tmp_path))[0].count() == 1
