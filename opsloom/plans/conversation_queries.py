@@ -92,8 +92,8 @@ ANSWER_OVERLAP = f"""WITH {TURNS}, w AS (SELECT turn_id, session_id, content, re
 
 def repeated_questions(spark, d):
     """Each user's question with the first earlier one much like it."""
-    asked = table(spark, d, "chat_requests").filter("user_id IS NOT NULL").select("request_id", "user_id", "message").distinct()
-    # Requests that stand in the table twice under one number are one entry, as in the SQL.
+    asked = table(spark, d, "chat_requests").filter("user_id IS NOT NULL").select("request_id", "user_id", "message")
+    # A row that stands in the table twice adds nothing, as only entries with lower numbers count.
     return conversations.first_similar(asked, "user_id", "request_id", text.eval_tokens(F.lower("message")), 0.4)
 
 

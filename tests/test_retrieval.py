@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -120,6 +121,41 @@ def test_first_similar_is_that_found_by_hand(spark, seed):
         assert got == first_similar_by_hand(rows, least)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_first_similar_over_blocks_batches_and_long_entries(spark, seed, monkeypatch):
+    """Owners of several blocks, cells over several batches, numbers given anew, and entries of more tokens than sketches have bits."""
+    rng = random.Random(seed)
+    rows = [(k // 2, rng.choice("uuuv"), [f"t{rng.randint(0, rng.choice([8, 20, 3000]))}" for _ in range(rng.choice([0, 3, 8, 20, 3000]))]) for k in range(160)]
+    near = rows[150][2] and rows[150][2] + ["more"]
+    rows += [(200, "u", near), (201, None, near), (None, "u", near)]
+    want = first_similar_by_hand([r for r in rows if r[0] is not None and r[1]], 0.4)
+    monkeypatch.setattr(conversations, "BLOCK", 16)
+    monkeypatch.setattr(conversations, "SKETCHED", 64)
+    monkeypatch.setattr(conversations, "COMPARED", 100)
+    monkeypatch.setattr(conversations, "KEPT_TOKENS", 50)
+    df = spark.createDataFrame(rows, "k int, u string, w array<string>")
+    sent = []
+    keep = conversations._compare
+    with monkeypatch.context() as m:
+        m.setattr(conversations, "_compare", lambda least, schema: sent.append(schema) or keep(least, schema))
+        got = {(r.u, r.k): r.earlier for r in conversations.first_similar(df, "u", "k", F.col("w"), 0.4).collect()}
+    assert got == want and want
+    # The same in this process, where the small limits hold, in batches of seven rows.
+    cells = [(u, k, 0, 0, 0, list(dict.fromkeys(w))) for k, u, w in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: (r[1], r[0]))]
+    kinds = pa.schema([("__owner", pa.string()), ("__order", pa.int32()), ("__i", pa.int32()), ("__j", pa.int32()), ("__block", pa.int32()), ("__w", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, c)) for c in cells[n : n + 7]], kinds) for n in range(0, len(cells), 7)]
+    found = [r for b in keep(0.4, sent[0])(iter(batches)) for r in b.to_pylist()]
+    assert {(r["u"], r["k"]): min(x["earlier"] for x in found if (x["u"], x["k"]) == (r["u"], r["k"])) for r in found} == want
+
+
+def test_first_similar_makes_no_row_for_a_token(spark):
+    """Entries are sent as they are: the only rows that are added are those of an owner's blocks."""
+    df = spark.createDataFrame([(1, "u", "a b")], "k int, u string, t string")
+    plan = conversations.first_similar(df, "u", "k", F.split("t", " "), 0.4)._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(made) == 1 and "sequence" in made[0]
+
+
 @pytest.mark.parametrize("parts", ["1", "4"])
 def test_exact_quantiles(spark, parts):
     rng = random.Random(9)
