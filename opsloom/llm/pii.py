@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -450,23 +451,25 @@ def find(df: DataFrame, text: str, keep: list[str], name_parts: DataFrame) -> Da
     """(*keep, kind, start, end, value) of each entity in the column ``text`` of df."""
     known = _known_names(name_parts)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # In Arrow, as pandas makes floats of whole numbers beside a null, which changes large keys or can't be turned back.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(known)
-        for pdf in frames:
+        for batch in batches:
             at, kinds, starts, ends, values = [], [], [], [], []
-            for row, value in enumerate(pdf["__text"]):
+            for row, value in enumerate(batch.column("__text").to_pylist()):
                 for e in entities(value, names):
                     at.append(row)
                     kinds.append(e.kind)
                     starts.append(e.start)
                     ends.append(e.end)
                     values.append(value[e.start : e.end])
-            out = pdf.iloc[at][keep].reset_index(drop=True)
-            yield out.assign(kind=kinds, start=starts, end=ends, value=values)
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]
+            found = [pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=[*keep, "kind", "start", "end", "value"])
 
     rows = df.select(*keep, F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
-    return rows.mapInPandas(run, f"{schema}, kind string, start int, end int, value string")
+    return rows.mapInArrow(run, f"{schema}, kind string, start int, end int, value string")
 
 
 def mask(df: DataFrame, text: str, out: str, name_parts: DataFrame) -> DataFrame:

@@ -250,6 +250,15 @@ def test_mask_keeps_the_rest(spark):
     assert {r.id: r.m for r in pii.mask(df, "t", "m", parts).collect()} == {1: "cc [EMAIL], now", 2: None, 3: ""}
 
 
+def test_keys_stay_exact_beside_a_null(spark):
+    """Keys beyond 2^53 in one batch with a null key, the largest of all among them."""
+    keys = [None, 2**53 + 1, 2**60 + 1, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(k, f"Mail to a{n}@mail.example") for n, k in enumerate(keys)], "id long, t string").coalesce(1)
+    parts = spark.createDataFrame([("Mark", "given")], "name_part string, part_kind string")
+    found = pii.find(df, "t", ["id"], parts).select("id", "kind", "value").collect()
+    assert sorted(map(tuple, found), key=lambda r: r[2]) == [(k, "email", f"a{n}@mail.example") for n, k in enumerate(keys)]
+
+
 # --- tokens
 
 
