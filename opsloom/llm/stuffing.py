@@ -51,6 +51,8 @@ _FIELD = re.compile(r"\b(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|CRITICAL|F
 _CUT = re.compile(r"(?<=[.!?。！？；])(?=\s|[㐀-鿿]|$)|(?<=[.!?])\s+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]>\"']+|</?[a-zA-Z][^>]*>")
 _WORD = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*")
+# The same in ASCII letters, all small.
+_ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
 _STOP = re.compile(r"[.!?。！？][\"'”’»)\]」』）]*\s*$")
 _COMMA = re.compile(r"[,，、;；|/»·]")
 _HAN = re.compile(r"[㐀-鿿]")
@@ -110,6 +112,10 @@ def units(text: str) -> list[tuple[bool, int, int]]:
 def words(unit: str) -> list[str]:
     """The words of a unit without its links. Han script has no blanks: a run longer than a word gives every two neighbours."""
     plain = _URL.sub(" ", unit) if "/" in unit or "<" in unit or "www." in unit else unit
+    if plain.isascii():
+        return _ASCII_WORD.findall(plain.lower())
+    if not _HAN.search(plain):
+        return [w.lower() for w in _WORD.findall(plain)]
     out = []
     for w in _WORD.findall(plain):
         if "㐀" <= w[0] <= "鿿":
@@ -192,41 +198,47 @@ def _pairs(names: np.ndarray, apart: int) -> np.ndarray:
 def repeats(text: str) -> list[int]:
     """For each position, the length of the longest substring ending there that occurs elsewhere in the text too."""
     # The suffix automaton: of each state the length of its longest substring, its link, and where it leads.
-    most = 2 * len(text) + 1
-    length, link, leads = [0] * most, [-1] * most, [None] * most
-    leads[0] = {}
+    length, link, leads = [0], [-1], [{}]
     last, states, ends = 0, 1, []
     for c in text:
         new = states
         states += 1
-        reach = length[new] = length[last] + 1
-        leads[new] = {}
+        reach = length[last] + 1
+        length.append(reach)
+        leads.append({})
         at = last
-        while at >= 0 and c not in leads[at]:
-            leads[at][c] = new
+        while at >= 0:
+            on = leads[at]
+            if c in on:
+                break
+            on[c] = new
             at = link[at]
         if at < 0:
-            link[new] = 0
+            link.append(0)
         else:
-            to = leads[at][c]
+            to = on[c]
             reach = length[at] + 1
             if reach == length[to]:
-                link[new] = to
+                link.append(to)
             else:
                 copy = states
                 states += 1
-                length[copy] = reach
-                link[copy] = link[to]
-                leads[copy] = leads[to].copy()
-                while at >= 0 and leads[at].get(c) == to:
-                    leads[at][c] = copy
+                link.append(copy)
+                length.append(reach)
+                link.append(link[to])
+                leads.append(leads[to].copy())
+                while on.get(c) == to:
+                    on[c] = copy
                     at = link[at]
-                link[to] = link[new] = copy
+                    if at < 0:
+                        break
+                    on = leads[at]
+                link[to] = copy
         last = new
         ends.append(new)
     # The substrings of a state occur again if another state links to it; and those of a link always do.
-    again = bytearray(most)
-    for s in link[1:states]:
+    again = bytearray(states)
+    for s in link[1:]:
         again[s] = 1
     return [length[s] if again[s] else length[link[s]] for s in ends]
 
@@ -235,17 +247,10 @@ def covered(text: str, least: int) -> np.ndarray:
     """Which characters repeated maximal substrings of at least ``least`` characters cover, by the suffix automaton."""
     if len(text) > BLOCK:
         return repeated(code_points(text), least)
-    found = repeats(text)
-    out = np.zeros(len(text), bool)
-    open_to = len(text)
-    for k in range(len(found) - 1, -1, -1):
-        if found[k] >= least:
-            open_to = min(open_to, k - found[k] + 1)
-        if open_to <= k:
-            out[k] = True
-        else:
-            open_to = len(text)
-    return out
+    found = np.array(repeats(text), np.int64)
+    ends = np.flatnonzero(found >= least)
+    change = np.bincount(ends - found[ends] + 1, minlength=len(text) + 1) - np.bincount(ends + 1, minlength=len(text) + 1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def stuffed(text: str | None) -> tuple[float, float]:
@@ -255,7 +260,7 @@ def stuffed(text: str | None) -> tuple[float, float]:
     codes = code_points(text)
     shown = codes > 32
     if codes.max() >= 0x80:
-        shown &= ~np.isin(codes, _BLANKS)
+        shown &= _SHOWN[np.minimum(codes, len(_SHOWN) - 1)]
     whole = int(shown.sum())
     if not whole or (codes[shown] == codes[shown][0]).all():
         return 0.0, 0.0
@@ -280,6 +285,8 @@ def stuffed(text: str | None) -> tuple[float, float]:
 _DIGITS = str.maketrans("123456789", "0" * 9)
 # The blanks beyond ASCII.
 _BLANKS = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_SHOWN = np.ones(_BLANKS.max() + 2, bool)
+_SHOWN[_BLANKS] = False
 
 
 def judged(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -497,3 +497,21 @@ def test_pages_of_other_kinds_and_languages(text, bad):
 def test_long_pages_are_judged_whole():
     page = "cheap vps, best host, log tool, fast proxy, disk cleaner\n" * (2 * stuffing.BLOCK // 50)
     assert len(page) > stuffing.BLOCK and stuffing.stuffed(page)[1] > 0.9
+
+
+def test_quick_ways_of_page_judging_give_the_same():
+    """ASCII words by their own pattern, covers from all ends at once, blanks by a table."""
+    rng = random.Random(11)
+    for _ in range(3000):
+        unit = "".join(rng.choice("ab C'’-_1éßİK李王，. ") for _ in range(rng.randint(0, 30)))
+        if not stuffing._HAN.search(unit):
+            assert stuffing.words(unit) == [w.lower() for w in stuffing._WORD.findall(unit)]
+        if unit.isascii():
+            assert stuffing._ASCII_WORD.findall(unit.lower()) == stuffing.words(unit)
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 50)))
+        want = np.zeros(len(text), bool)
+        for end, n in enumerate(stuffing.repeats(text)):
+            if n >= 4:
+                want[end - n + 1 : end + 1] = True
+        assert (stuffing.covered(text, 4) == want).all()
+    assert [int(k) for k in np.flatnonzero(~stuffing._SHOWN)] == [int(k) for k in stuffing._BLANKS]
